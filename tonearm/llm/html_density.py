@@ -106,8 +106,9 @@ def parse(page: str) -> Block:
                 block.link_chars += len(_SPACE.sub(" ", piece).strip())
 
     def pop_to(depth: int) -> None:
-        for _, block, _ in stack[depth:]:
-            block.flush()
+        for k in range(depth, len(stack)):  # an inline element shares the block below it
+            if k == 0 or stack[k][1] is not stack[k - 1][1]:
+                stack[k][1].flush()
         del stack[depth:]
 
     while at < n:
@@ -274,22 +275,19 @@ def main_text(page: str | None) -> tuple[str, float]:
         path.append(path[-1].parent)
     threshold = min(b.density for b in path)
     out: list[str] = []
-
-    def walk(block: Block) -> None:
-        if block is best:
-            _text(block, out)
-            return
-        on_path = next((c for c in block.children if isinstance(c, Block) and any(c is p for p in path)), None)
-        for c in block.children:
-            if c is on_path:
-                walk(c)
-            elif isinstance(c, str):
-                if len(c) / max(1, block.tags) >= threshold:
-                    out.append(c)
-            elif not c.drop and c.chars and (c.name in HEADINGS or c.density >= threshold):
-                _text(c, out)
-
-    walk(path[-1])
+    on_path = {id(b) for b in path}
+    todo: list[tuple[Block, Block | str]] = [(path[-1], path[-1])]  # with the block that holds it
+    while todo:
+        above, x = todo.pop()
+        if x is best:
+            _text(best, out)
+        elif isinstance(x, str):
+            if len(x) / max(1, above.tags) >= threshold:
+                out.append(x)
+        elif id(x) in on_path:
+            todo += [(x, c) for c in reversed(x.children)]
+        elif not x.drop and x.chars and (x.name in HEADINGS or x.density >= threshold):
+            _text(x, out)
     return " ".join(out), best.sum
 
 

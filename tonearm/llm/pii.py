@@ -158,13 +158,17 @@ def redacted(text: Column, spans: Column) -> Column:
     return F.when(F.size(spans) > 0, F.aggregate(spans, start, add, end)).otherwise(text)
 
 
+def _is_kind(kind: str):
+    return lambda x: x["kind"] == kind
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = add_spans(read(spark, sf_dir, "documents").select("doc_id", "text"))
     spans = F.col("pii_spans")
     base = F.filter(spans, lambda x: x["kind_no"] < BASE)
     return found.select(
         F.col("doc_id").cast("long").alias("doc_id"),
-        *[F.size(F.filter(spans, lambda x, k=k: x["kind_no"] == k)).cast("long").alias(f"n_{KINDS[k]}") for k in range(BASE)],
+        *[F.size(F.filter(spans, _is_kind(k))).cast("long").alias(f"n_{k}") for k in KINDS[:BASE]],
         F.sha2(written(base), 256).alias("base_sha256"),
         written(spans).alias("spans"),
         F.array_join(F.transform(spans, lambda x: F.round(x["score"], 2).cast("string")), ",").alias("scores"),
