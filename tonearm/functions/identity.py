@@ -10,6 +10,9 @@ from .text import collapse_space, let, match_form
 #: White_Space and the four separators U+001C to U+001F.
 _SPACES = "\\p{IsWhite_Space}\\x{1C}-\\x{1F}"
 
+#: A text that ends in a group without inner brackets of its kind, after something.
+SIMPLE_GROUP = "(?s)\\A(.+?) *(?:\\([^()]*\\)|\\[[^\\[\\]]*\\]) *\\z"
+
 
 def _nested_parens(x: Column) -> Column:
     """Nesting is not regular: a fold over the characters from the right finds the opener."""
@@ -38,7 +41,7 @@ def strip_parens(x: Column) -> Column:
     """
 
     def form(v: Column) -> Column:
-        simple = "(?s)\\A(.+?) *(?:\\([^()]*\\)|\\[[^\\[\\]]*\\]) *\\z"
+        simple = SIMPLE_GROUP
         return F.when(v.rlike(simple), F.rtrim(F.regexp_replace(v, simple, "$1"))).when(v.rlike("[)\\]] *\\z"), _nested_parens(v)).otherwise(v)
 
     return let(x, form)

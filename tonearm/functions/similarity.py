@@ -26,6 +26,14 @@ SCALE = 0.1
 
 def lcs_length(a: str, b: str) -> int:
     """Bit-parallel: after each character of b, zeros of the row count the subsequence."""
+    n = min(len(a), len(b))
+    head = 0  # what both begin and end with is common in any case
+    while head < n and a[head] == b[head]:
+        head += 1
+    tail = 0
+    while tail < n - head and a[-1 - tail] == b[-1 - tail]:
+        tail += 1
+    a, b = a[head : len(a) - tail], b[head : len(b) - tail]
     if len(a) < len(b):
         a, b = b, a
     where: dict[str, int] = {}
@@ -36,7 +44,7 @@ def lcs_length(a: str, b: str) -> int:
     for c in a:
         u = row & where.get(c, 0)
         row = (row + u | row - u) & full
-    return len(b) - row.bit_count()
+    return head + tail + len(b) - row.bit_count()
 
 
 def ratio(a: str, b: str) -> float:
@@ -57,7 +65,9 @@ def set_ratio(a: set[str], b: set[str]) -> float:
         return float(not a and not b)
     both = " ".join(sorted(a & b))
     left, right = (" ".join(x for x in (both, " ".join(sorted(s))) if x) for s in (a - b, b - a))
-    return max(ratio(both, left), ratio(both, right), ratio(left, right))
+    # the shared tokens begin both sides, so they are a subsequence of either
+    shared = [2.0 * len(both) / (len(both) + len(x)) if both or x else 1.0 for x in (left, right)]
+    return max(*shared, ratio(left, right))
 
 
 def jaro(a: str, b: str) -> float:

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import unicodedata
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -139,14 +140,15 @@ def transliterate(x: Column) -> Column:
     return F.translate(F.regexp_replace(_reflected("decompose", x, False), "\\p{M}+", ""), *_ONE)
 
 
-def ascii_form(x: Column) -> Column:
-    """Match form in ASCII: other symbols dropped, letters transliterated, lower case."""
+def ascii_of_match(plain: Column) -> Column:
+    """The ASCII form of a text in match form."""
+    wide = F.lower(transliterate(F.replace(F.regexp_replace(plain, "\\p{So}", ""), F.lit("й"), F.lit("i"))))
+    return F.when(is_ascii(plain), plain).when(plain.isNotNull(), collapse_space(F.regexp_replace(wide, "[^\\x{00}-\\x{7F}]", "")))
 
-    def form(plain: Column) -> Column:
-        wide = F.lower(transliterate(F.replace(F.regexp_replace(plain, "\\p{So}", ""), F.lit("й"), F.lit("i"))))
-        return F.when(is_ascii(plain), plain).when(plain.isNotNull(), collapse_space(F.regexp_replace(wide, "[^\\x{00}-\\x{7F}]", "")))
 
-    return let(match_form(x), form)
+def ascii_form(x: Column) -> Column:
+    """Match form in ASCII: other symbols dropped, letters transliterated, lower case."""
+    return let(match_form(x), ascii_of_match)
 
 
 def or_empty(form, x: Column) -> Column:
@@ -190,8 +192,6 @@ def _loses_marks(c: str) -> bool:
 
 
 def match_form_arrow(x: Column) -> Column:
-    import pandas as pd
-
     @F.pandas_udf("string")
     def form(s: pd.Series) -> pd.Series:
         return s.map(_match_form_of, na_action="ignore")

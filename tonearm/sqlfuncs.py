@@ -1,50 +1,62 @@
-"""The forms as SQL functions of a session: ``SELECT identity_match(name) FROM t``.
+"""The forms as SQL functions of a session: ``SELECT identity_match_artist(name) FROM t``.
 
-``register`` makes temporary SQL functions, which Catalyst inlines like any expression: each
-body is the SQL of the same Column expression, so there is one definition of each form.
+``register`` makes temporary SQL functions, which Catalyst inlines like any expression. A body is
+the SQL of the Column expression, or is composed of functions made before it.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import artists, export, identity, text
 
+_GROUP = identity.SIMPLE_GROUP.replace("\\", "\\\\")
+#: The fold of ``identity.strip_parens`` for nested groups, in SQL.
+_PARENS = f"""CASE WHEN x RLIKE '{_GROUP}' THEN rtrim(regexp_replace(x, '{_GROUP}', '$1'))
+ WHEN x RLIKE '[)\\\\]] *\\\\z' THEN coalesce(get(transform(array(length(rtrim(x)) - aggregate(split(reverse(rtrim(x)), ''), named_struct('depth', 0, 'seen', 0, 'hit', 0),
+  (acc, c) -> named_struct('depth', acc.depth + CASE WHEN c = right(rtrim(x), 1) THEN 1 WHEN c = translate(right(rtrim(x), 1), ')]', '([') THEN -1 ELSE 0 END, 'seen', acc.seen + 1,
+   'hit', CASE WHEN acc.hit = 0 AND acc.depth + CASE WHEN c = right(rtrim(x), 1) THEN 1 WHEN c = translate(right(rtrim(x), 1), ')]', '([') THEN -1 ELSE 0 END = 0 THEN acc.seen + 1 ELSE acc.hit END),
+  acc -> acc.hit)), at -> CASE WHEN at > 0 AND at < length(rtrim(x)) THEN rtrim(substr(x, 1, at)) END), 0), x) ELSE x END"""
+
+#: Name -> a Column form, or SQL over earlier functions (``{p}`` is the prefix).
 FUNCTIONS = {
     "match_form": text.match_form,
     "storage_form": text.storage_form,
-    "ascii_form": text.ascii_form,
+    "ascii_of_match": text.ascii_of_match,
+    "ascii_form": "{p}ascii_of_match({p}match_form(x))",
     "fix_mojibake": text.fix_mojibake,
-    "strip_trailing_parens": identity.strip_parens,
+    "collapse_space": text.collapse_space,
+    "collapse_punctuation": identity.collapse_punctuation,
+    "strip_disambiguator": identity.strip_disambiguator,
+    "strip_trailing_parens": _PARENS,
     "drop_articles": identity.drop_articles,
-    "identity_baseline": identity.identity_form,
-    "identity_match_artist": identity.identity_form,
-    "identity_match_title": identity.identity_form_title,
-    "identity_match_with_punctuation": identity.identity_form_punctuation,
-    "identity_match_with_disambiguator_strip": identity.identity_form_disambiguator,
+    "identity_baseline": "{p}drop_articles({p}strip_trailing_parens({p}match_form(x)))",
+    "identity_match_artist": "{p}collapse_space({p}identity_baseline(x))",
+    "identity_match_title": "{p}collapse_space({p}identity_baseline(x))",
+    "identity_match_with_punctuation": "{p}collapse_space({p}collapse_punctuation({p}identity_baseline(x)))",
+    "identity_match_with_disambiguator_strip": "{p}strip_disambiguator({p}collapse_space({p}identity_baseline(x)))",
     "is_compilation_artist": artists.is_compilation,
     "pg_text_form": export.remove_nul,
 }
 
 
-def apply(name: str, x: Column) -> Column:
-    return FUNCTIONS[name](x)
-
-
 def register(spark: SparkSession, prefix: str = "") -> list[str]:
     """Create the functions in the session; their names."""
     probe = spark.createDataFrame([], "x string")
     made = []
     for name, form in FUNCTIONS.items():
-        body = _sql_of(probe.select(form(F.col("x")).alias("y")))
+        if isinstance(form, str):
+            body = form if form is _PARENS else form.format(p=prefix)
+        else:
+            body = _sql_of(probe, form(F.col("x")))
         kind = "BOOLEAN" if name == "is_compilation_artist" else "STRING"
         spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {prefix}{name}(x STRING) RETURNS {kind} RETURN {body}")
         made.append(prefix + name)
     return made
 
 
-def _sql_of(df) -> str:
-    """The SQL of the only column of ``df``, resolved, its input named x."""
-    project = df._jdf.queryExecution().analyzed()
-    return project.projectList().head().child().sql()
+def _sql_of(probe: DataFrame, form: Column) -> str:
+    """The SQL of a form of the column x."""
+    analyzed = probe.select(form.alias("y"))._jdf.queryExecution().analyzed()
+    return analyzed.projectList().head().child().sql()
