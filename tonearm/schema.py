@@ -76,7 +76,7 @@ def struct(group: str, table: str) -> T.StructType:
 
 
 def columns(group: str, table: str) -> list[str]:
-    return struct(group, table).names
+    return [c.split()[0] for c in GROUPS[group][table].split(", ")]
 
 
 def create_table(group: str, table: str, using: str = "parquet") -> str:
