@@ -197,23 +197,12 @@ def test_language(spark, docs, rows, real, empty):
 def test_kneser_ney_sums_to_one():
     words = ["aba", "abb", "b", "ba", "cab"]
     m = language_id.fit_models(words, np.array([[3, 0], [1, 2], [2, 2], [0, 5], [1, 1]], float), ["x", "y"], 3)
-    letters = ["a", "b", "c"]
     for history in ("", "a", "ab", "ca", "q"):
-        total = np.zeros(2)
-        for c in [*letters, "\x03"]:
-            text = history + ("" if c == "\x03" else c)
-            bits, _ = m.score([text])
-            whole = np.exp2(-bits[0])
-            if c == "\x03":
-                total += whole
-            else:  # take the end mark's factor out again
-                word, place, h = language_id.grams([text], 3)
-                last = history[-1:] if history else ""
-                del last, word, place, h
-                total += whole / np.exp2(-(m.score([text])[0][0] - _prefix_bits(m, text)))
-        prefix = np.exp2(-_prefix_bits(m, history)) if history else np.ones(2)
-        assert (total / prefix <= 1 + 1e-9).all()
-        assert (total / prefix > 0.5).all() or history == "q"
+        before = _prefix_bits(m, history)
+        # z stands for all characters that no model has seen
+        following = sum(np.exp2(before - _prefix_bits(m, history + c)) for c in "abcz")
+        ends = np.exp2(before - m.score([history])[0][0])
+        assert following + ends == pytest.approx(np.ones(2))
 
 
 def _prefix_bits(m, text):
@@ -315,14 +304,12 @@ def test_simhash_links_of_planted_fingerprints(spark, bucket):
     d = spark.createDataFrame(signed, "fp long")
     roots = {r["node"]: r["root"] for r in simhash.components(simhash.links(d, bucket=bucket)).collect()}
     want = groups({y[0] % (1 << 64): y[0] % (1 << 64) for y in signed})
-    unsigned = lambda x: x % (1 << 64)
     same = {}
     for node in fps:
         s = node - (1 << 64) if node >> 63 else node
         same.setdefault(roots.get(s, s), set()).add(want[node])
     assert all(len(v) == 1 for v in same.values())
     assert len(same) == len(set(want.values()))
-    assert unsigned(-1) == (1 << 64) - 1
 
 
 def test_thresholds():
@@ -330,8 +317,6 @@ def test_thresholds():
     bits = rng.integers(0, 2, (500, 64)).astype("f8")
     for n in (500, 10**6, 10**10):
         parts = simhash.plan(n, bits.T @ bits * (n / 500))
-        m = len(parts)
-        assert sum(t for _, t in parts) >= simhash.RADIUS - m + 1 - (0 if m > 1 else 0) - 0 or m < 4
         used = [b for g, _ in parts for b in g]
         assert len(used) == len(set(used))
     cost, ts = simhash.allocate([[0, 5, 50, 500, 5000], [0, 1, 2, 3, 4]], 3)

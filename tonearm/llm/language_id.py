@@ -36,7 +36,7 @@ TRAIN_DOCS = 600
 MEMO = 400_000
 CHARS = 1 << 20
 SPREAD = 6.0
-ROOM = 0.5
+ROOM = 2.0
 UNKNOWN = "und"
 RESULT = "doc_id long, lang_pred string, score double, cross_entropy double, rejected boolean, n_scored long"
 
