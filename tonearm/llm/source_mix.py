@@ -82,6 +82,10 @@ def sized(documents: DataFrame, seed: int = SEED) -> DataFrame:
 
 def mix(documents: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SHARE, most: float = MOST, seed: int = SEED) -> DataFrame:
     """``doc_id, size, source_size, target, taken``, a row per document."""
+    return _mix(documents, weights, share, most, seed).drop("source")
+
+
+def _mix(documents: DataFrame, weights: Sequence[float], share: float, most: float, seed: int) -> DataFrame:
     rows = stage(sized(documents, seed), "mix-sizes")
     buckets = stage(rows.groupBy("source", "bucket").agg(F.sum("size").alias("bucket_size")), "mix-buckets")
     goal = targets(buckets.groupBy("source").agg(F.sum("bucket_size").alias("source_size")), weights, share, most)
@@ -95,7 +99,7 @@ def mix(documents: DataFrame, weights: Sequence[float] = WEIGHTS, share: float =
     every = rows.join(F.broadcast(plan) if _is_small(plan, rows) else plan, rows["source"].eqNullSafe(F.col("p_source")) & (F.col("bucket") == F.col("p_bucket")))
     left = F.col("budget") - F.col("before")
     cut = (left > 0) & (left < F.col("bucket_size"))
-    kept = ["doc_id", "size", "source_size", "target"]
+    kept = ["source", "doc_id", "size", "source_size", "target"]
     sure = every.where(~cut).select(*kept, (F.col("size") * (F.col("epochs") + F.when(left > 0, 1).otherwise(0))).alias("taken"))
     within = Window.partitionBy("source", "bucket").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
     edge = every.where(cut).withColumn("ahead", F.coalesce(F.sum("size").over(within), F.lit(0)))
@@ -108,19 +112,20 @@ def _is_small(plan: DataFrame, rows: DataFrame) -> bool:
     return plan.select("p_bucket").limit(200_001).count() <= 200_000
 
 
-def mixed_rows(documents: DataFrame, **options) -> DataFrame:
+def mixed_rows(documents: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SHARE, most: float = MOST, seed: int = SEED) -> DataFrame:
     """The mix as rows of ``documents``: a copy for each epoch and one for the last, partial one.
 
     A row taken in part keeps its whole text if at least half its words were taken, so that texts
-    stay whole; a row that takes no word goes.
+    stay whole; a row that takes no word goes. Of repeated rows all have the first one's copies.
     """
-    taken = mix(documents, **options).where("taken > 0")
-    copies = F.floor(F.col("m_taken") / F.col("m_size") + 0.5).cast("int")
-    one_each = taken.groupBy(F.col("doc_id").alias("m_doc_id"), F.col("size").alias("m_size"), F.col("source_size")).agg(F.max("taken").alias("m_taken"))
+    keys = ("doc_id", "source", "size")
+    taken = _mix(documents, weights, share, most, seed).where("taken > 0").groupBy(*keys).agg(F.max("taken").alias("taken"))
+    taken = taken.select(*[F.col(c).alias(f"m_{c}") for c in (*keys, "taken")])
     counted = documents.withColumn("m_words", word_count(whole_text(documents)))
-    joined = counted.join(one_each, (F.col("doc_id").cast("long") == F.col("m_doc_id")) & (F.col("m_words") == F.col("m_size")))
-    repeated = joined.withColumn("m_copy", F.explode(F.array_repeat(F.lit(1), copies)))
-    return repeated.select(*[documents[c] for c in documents.columns])
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("m_doc_id")) & F.col("source").cast("string").eqNullSafe(F.col("m_source")) & (F.col("m_words") == F.col("m_size"))
+    copies = F.floor(F.col("m_taken") / F.col("m_size") + 0.5).cast("int")
+    repeated = counted.join(taken, same).withColumn("m_copy", F.explode(F.array_repeat(F.lit(1), copies)))
+    return repeated.select(*documents.columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
