@@ -246,9 +246,31 @@ def _pairs(name: str, column, oracle: str | None = None) -> None:
 
 _pairs("levenshtein_ratio", similarity.levenshtein_ratio, "1 - levenshtein(a, b) / greatest(strlen(a), strlen(b))")
 _pairs("jaro_winkler", similarity.jaro_winkler, "jaro_winkler_similarity(a, b)")
-_pairs("fuzz_ratio", similarity.fuzz_ratio)
+def _sql_ratio(a: str, b: str) -> str:
+    """2 LCS / lengths, by dynamic programming over lists: the row after each character of a."""
+    row = (
+        f"list_reduce(list_transform(string_split({a}, ''), lambda ch: [unicode(ch)]), lambda acc, c: list_transform(range(1, length({b}) + 1), lambda j: "
+        f"greatest(acc[j], list_max(list_transform(range(1, j + 1), lambda k: CASE WHEN unicode(substr({b}, k, 1)) = c[1] THEN (CASE WHEN k > 1 THEN acc[k - 1] ELSE 0 END) + 1 ELSE 0 END)))), "
+        f"list_transform(range(1, length({b}) + 1), lambda z: 0))"
+    )
+    return f"CASE WHEN length({a}) + length({b}) = 0 THEN 1.0::DOUBLE WHEN length({a}) = 0 OR length({b}) = 0 THEN 0.0::DOUBLE ELSE 2.0::DOUBLE * list_last({row}) / (length({a}) + length({b})) END"
+
+
+_WORDS = "list_sort(list_filter(regexp_split_to_array(lower({x}), '\\s+'), lambda t: t <> ''))"
+_SORTED = f"SELECT c_custkey, s_suppkey, array_to_string({_WORDS.format(x='a')}, ' ') AS a, array_to_string({_WORDS.format(x='b')}, ' ') AS b FROM ({_PAIRS})"
+_SETS = f"SELECT c_custkey, s_suppkey, list_distinct({_WORDS.format(x='a')}) AS u, list_distinct({_WORDS.format(x='b')}) AS v FROM ({_PAIRS})"
+_PARTS = f"""SELECT c_custkey, s_suppkey, array_to_string(list_sort(list_filter(u, lambda t: list_contains(v, t))), ' ') AS i,
+ array_to_string(list_sort(list_filter(u, lambda t: NOT list_contains(v, t))), ' ') AS l, array_to_string(list_sort(list_filter(v, lambda t: NOT list_contains(u, t))), ' ') AS r FROM ({_SETS})"""
+_JOINED = f"SELECT c_custkey, s_suppkey, i, trim(i || ' ' || l) AS a, trim(i || ' ' || r) AS b FROM ({_PARTS})"
+
+_pairs("fuzz_ratio", similarity.fuzz_ratio, _sql_ratio("a", "b"))
 _pairs("token_sort_ratio", similarity.token_sort_ratio)
 _pairs("token_set_ratio", similarity.token_set_ratio)
+ORACLE_SQL["token_sort_ratio"] = _duck(f"SELECT c_custkey, s_suppkey, round({_sql_ratio('a', 'b')}, 6) AS y FROM ({_SORTED})")
+# the shared tokens begin both sides, so their longest common subsequence is themselves
+ORACLE_SQL["token_set_ratio"] = _duck(
+    f"SELECT c_custkey, s_suppkey, round(greatest({_sql_ratio('a', 'b')}, 2.0::DOUBLE * length(i) / (length(i) + length(a)), 2.0::DOUBLE * length(i) / (length(i) + length(b))), 6) AS y FROM ({_JOINED})"
+)
 
 
 # ---- library and classification
