@@ -239,6 +239,13 @@ def test_html(spark):
     for i, (_, want) in enumerate(PAGES):
         assert out[i]["text"] == want, i
         assert out[i]["n_chars"] == len(want)
+    long = "A fairly long sentence of an article, with a few words. " * 4
+    two = f"<body><article><p>{long}</p></article><article><p>{long}</p><p>{long}</p></article></body>"
+    assert html_density.main_text(two)[0] == " ".join([long.strip()] * 3)
+    talk = f"<body><div class=post><p>{long}</p></div><div id=comments>{f'<p>{long}</p>' * 8}</div></body>"
+    assert html_density.main_text(talk)[0] == long.strip()
+    named = f"<body><div class=cookie-consent>{long}</div><div class='content sidebar-right'><p>{long}</p><p>{long}</p></div></body>"
+    assert html_density.main_text(named)[0] == " ".join([long.strip()] * 2)
     deep = "<div>" * 5000 + "<p>deep text</p>"
     assert html_density.main_text(deep)[0] == "deep text"
 

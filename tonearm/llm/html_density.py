@@ -11,7 +11,10 @@ C_b and LC_b, the composite density is
 
 with T, LC, LT and C - LC of 0 taken as 1. A block's density sum is the sum over its children. The block
 of largest sum is the main one. The threshold is the least density on the path from it to the
-body; along that path, headings and siblings of at least that density belong to the text too.
+body; along that path, headings and siblings of at least that density belong to the text too, as
+do siblings whose plain density, characters outside links a tag, is near the least on the path:
+the logarithm alone would leave out short sections. If the main block lies in an article or main
+element, only other articles are taken from outside it.
 
 Defined results: a null or empty page gives an empty text; a page without tags is one block;
 broken markup is read as browsers do in the common cases (unclosed paragraphs and list items,
@@ -52,6 +55,13 @@ KEEPS = frozenset("html body article main".split())
 NOT_MAIN = frozenset(
     "ad ads advert adverts advertisement advertising adsense banner sponsor sponsored promo promotion comment comments commentlist disqus reply replies respond cookie cookies consent gdpr notice notices notification alert popup modal overlay newsletter subscribe subscription signup login nav navbar navigation navi menu breadcrumb breadcrumbs pagination pager sidebar aside widget widgets footer masthead topbar toolbar share sharing social related recommended recommendations tags tagcloud skip contentinfo complementary dialog search form".split()
 )
+REMARKS = frozenset("comment comments commentlist disqus reply replies respond".split())
+#: A block that a name tells off goes only if this share of the page's text is left then, or, for
+#: reader comments, so many characters.
+LEFT_SHARE = 0.1
+LEFT_CHARS = 40
+#: Part of the least plain density on the body path that siblings of the main block need.
+LOOSE = 0.5
 _CLOSED_BY = {
     "li": frozenset(["li"]), "dt": frozenset(["dt", "dd"]), "dd": frozenset(["dt", "dd"]), "tr": frozenset(["tr"]), "td": frozenset(["td", "th"]), "th": frozenset(["td", "th"]), "option": frozenset(["option"]),
 }
@@ -61,7 +71,7 @@ _SCOPE = {"li": frozenset("ul ol menu dir".split()), "dt": frozenset(["dl"]), "d
 class Block:
     __slots__ = ("chars", "children", "density", "drop", "link_chars", "link_tags", "name", "named", "own", "parent", "sum", "tags")
 
-    def __init__(self, name: str, parent: Block | None, drop: bool = False, named: bool = False):
+    def __init__(self, name: str, parent: Block | None, drop: bool = False, named: int = 0):
         self.name, self.parent, self.drop, self.named = name, parent, drop, named
         self.children: list[Block | str] = []  # blocks, and texts between them
         self.own: list[str] = []  # pieces of the text that is being read
@@ -76,13 +86,15 @@ class Block:
             self.own = []
 
 
-def _named(attrs: str) -> tuple[bool, bool]:
-    """Whether the names of an element tell that it is not main text, and whether it is hidden."""
-    named = hidden = False
+def _named(attrs: str) -> tuple[int, bool]:
+    """Whether the names of an element tell that it is not main text (2: comments), and whether it
+    is hidden."""
+    named, hidden = 0, False
     for m in _ATTRIBUTE.finditer(attrs):
         key, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
         if key in ("class", "id", "role"):
-            named = named or not NOT_MAIN.isdisjoint(_NAMED.findall(value))
+            words = _NAMED.findall(value)
+            named = max(named, 2 * (not REMARKS.isdisjoint(words)), not NOT_MAIN.isdisjoint(words))
         elif key == "style":
             hidden = hidden or re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value) is not None
         else:
@@ -154,7 +166,7 @@ def parse(page: str) -> Block:
             end = re.compile(rf"</{name}(?=[\s/>])[^>]*>", re.I).search(page, at)
             at = end.end() if end else n
             continue
-        named, hidden = _named(attrs) if attrs and name not in KEEPS else (False, False)
+        named, hidden = _named(attrs) if attrs and name not in KEEPS else (0, False)
         drop = name in DROPPED or hidden or name == "header" and not any(e in ("article", "main") for e, _, _ in stack)
         if name in BLOCKS or drop or named:
             above.flush()
@@ -198,8 +210,12 @@ def _measure(block: Block) -> None:
     whole = block.chars
     named = [b for b in order if b.named and not b.drop]
     held = [_above(b) for b in order if b.name in ("article", "main") and b.chars and not b.drop]
-    for b in named:  # names alone do not drop a block that holds most of the page, or its article
-        b.drop = not any(id(b) in x for x in held) if held else 2 * b.chars < whole
+    left = whole
+    for b in sorted(named, key=lambda b: b.chars):  # a name alone does not drop what holds the page, or its article
+        rest = left - b.chars
+        b.drop = not any(id(b) in x for x in held) if held else rest >= (LEFT_CHARS if b.named == 2 else LEFT_SHARE * whole)
+        if b.drop:
+            left = rest + sum(x.chars for x in named if x.drop and x is not b and id(b) in _above(x))
     if any(b.drop for b in named):
         for b in named:
             if b.drop and not _in_dropped(b):
@@ -247,6 +263,10 @@ def densities(root: Block) -> tuple[Block, list[Block]]:
     return body, order
 
 
+def _plain(block: Block) -> float:
+    return max(0, block.chars - block.link_chars) / max(1, block.tags)
+
+
 def _text(block: Block, out: list[str]) -> None:
     todo: list[Block | str] = [block]
     while todo:
@@ -274,19 +294,21 @@ def main_text(page: str | None) -> tuple[str, float]:
     while path[-1] is not body and path[-1].parent is not None:
         path.append(path[-1].parent)
     threshold = min(b.density for b in path)
+    loose = LOOSE * min(_plain(b) for b in path)
     out: list[str] = []
     on_path = {id(b) for b in path}
-    todo: list[tuple[Block, Block | str]] = [(path[-1], path[-1])]  # with the block that holds it
+    region = next((b for b in reversed(path) if b.name in ("article", "main")), None)
+    todo: list[tuple[Block, Block | str, bool]] = [(path[-1], path[-1], region is None)]  # with the block that holds it
     while todo:
-        above, x = todo.pop()
+        above, x, inside = todo.pop()
         if x is best:
             _text(best, out)
         elif isinstance(x, str):
-            if len(x) / max(1, above.tags) >= threshold:
+            if inside and len(x) / max(1, above.tags) >= min(threshold, loose):
                 out.append(x)
         elif id(x) in on_path:
-            todo += [(x, c) for c in reversed(x.children)]
-        elif not x.drop and x.chars and (x.name in HEADINGS or x.density >= threshold):
+            todo += [(x, c, inside or x is region) for c in reversed(x.children)]
+        elif not x.drop and x.chars and (inside or x.name == "article") and (x.name in HEADINGS or x.density >= threshold or _plain(x) >= loose):
             _text(x, out)
     return " ".join(out), best.sum
 
