@@ -109,10 +109,21 @@ def collapse_space(x: Column) -> Column:
     return F.trim(F.regexp_replace(x, " {2,}", " "))
 
 
+#: ASCII and the letters of Latin-1, which both normal forms leave alone. None of them can be a
+#: continuation byte of misread UTF-8, so such a text is never repaired.
+_LATIN1 = "\\A[\\x{00}-\\x{7F}À-ÖØ-öø-ÿ]*\\z"
+_MARKED = [c for c in map(chr, range(0xE0, 0x100)) if len(unicodedata.normalize("NFD", c)) > 1]
+_BARE = "".join(unicodedata.normalize("NFD", c)[0] for c in _MARKED)
+
+
 def match_form(x: Column) -> Column:
-    """The comparison form: storage form, NFKC, lower case, marks, folds, format characters, spaces."""
+    """The comparison form: storage form, NFKC, lower case, marks, folds, format characters, spaces.
+
+    ASCII and Latin-1 texts, most names, take short ways to the same result.
+    """
+    latin = F.replace(F.translate(F.lower(x), "".join(_MARKED), _BARE), F.lit("æ"), F.lit("ae"))
     full = collapse_space(strip_cf(apply_folds(_marks_raw(F.lower(_reflected("compose", _storage_raw(x), True))))))
-    return F.when(is_ascii(x), collapse_space(F.lower(x))).when(x.isNotNull(), full)
+    return F.when(is_ascii(x), collapse_space(F.lower(x))).when(x.rlike(_LATIN1), collapse_space(latin)).when(x.isNotNull(), full)
 
 
 # ---- ASCII form
