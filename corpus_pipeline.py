@@ -9,27 +9,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tonearm.llm import language_id, packing, pii, simhash, source_mix
+from tonearm.llm import jaccard, language_id, packing, pii, source_mix
 from tonearm.llm._common import new_path, read, tokenizer_path
 
 #: The stages learn and sample, which SQL cannot express; tests hold them against brute force.
 ORACLE_SQL = None
 
 
-def _by_doc_id(docs: DataFrame, doc_ids: DataFrame) -> DataFrame:
-    """Rows of ``docs`` whose id is in ``doc_ids``; a null id counts as a value."""
-    return docs.join(doc_ids.withColumnRenamed("doc_id", "k_doc_id"), F.col("doc_id").eqNullSafe(F.col("k_doc_id")), "left_semi")
-
-
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop the documents that language identification rejects."""
     return language_id.keep_accepted(docs, language_id.train(docs))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one document of each group: the one that names it, and one row of that."""
-    found = simhash.near_duplicates(docs).where("doc_id <=> component_id").select("doc_id").distinct()
-    return _by_doc_id(docs, found).dropDuplicates(["doc_id"])
+    """Keep one row of each group of texts alike in 0.8 of their five-word shingles."""
+    return jaccard.keep_one(docs)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
