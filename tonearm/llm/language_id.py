@@ -6,7 +6,9 @@ a row of interpolated probabilities, one for each language; contexts stand in an
 weights of the lower order. A text's language is the one of lowest cross-entropy a character.
 
 A text is rejected if its cross-entropy is above what texts of that language of its length
-have: mean and spread come from a second sample, which the models have not seen.
+have: mean, spread and the room beyond them come from a second sample, which the models have not
+seen. The room is ``MARGIN``, what all but ``TAIL`` of that sample need, and ``UNSURE`` bits over
+the square root of the language's texts in it, since the mean of a few texts says little.
 
 The models are fitted on a sample of ``TRAIN_DOCS`` labelled documents a language on average, as
 is the calibration; the rest covers all documents and whole texts. Scores of distinct words are
@@ -36,7 +38,9 @@ TRAIN_DOCS = 600
 MEMO = 400_000
 CHARS = 1 << 20
 SPREAD = 6.0
-ROOM = 2.0
+MARGIN = 0.25
+TAIL = 0.002
+UNSURE = 2.0
 UNKNOWN = "und"
 RESULT = "doc_id long, lang_pred string, score double, cross_entropy double, rejected boolean, n_scored long"
 
@@ -94,6 +98,7 @@ class Models:
     base: np.ndarray | None = None  # for a character that no model has seen
     mean: np.ndarray | None = None
     spread: np.ndarray | None = None
+    room: np.ndarray | None = None
 
     def score(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Negative log2 probabilities (words, languages), and characters scored of each."""
@@ -256,9 +261,10 @@ def train(documents: DataFrame, train_docs: int = TRAIN_DOCS, order: int = ORDER
     seen = _scored(_sample(known, share, 1).withColumn("doc_id", F.lit(0).cast("long")), models, "lang").toArrow()
     entropy, n = np.asarray(seen.column("cross_entropy")).astype("f8"), np.asarray(seen.column("n_scored"))
     guess = np.array([column.get(x, -1) for x in seen.column("lang_pred").to_pylist()], "i8")
-    models.mean, models.spread = np.zeros(len(languages)), np.ones(len(languages))
+    models.mean, models.spread, own = np.zeros(len(languages)), np.ones(len(languages)), np.ones(len(languages))
     for k in range(len(languages)):
         mine = (guess == k) & (n >= 20)
+        own[k] = max(1, mine.sum())
         if not mine.any():
             mine = n >= 20
         if mine.any():
@@ -266,17 +272,25 @@ def train(documents: DataFrame, train_docs: int = TRAIN_DOCS, order: int = ORDER
             models.spread[k] = np.sqrt(np.mean((entropy[mine] - models.mean[k]) ** 2 * n[mine])) + 1e-6
         else:
             models.mean[k], models.spread[k] = np.log2(models.vocabulary), 10.0
+    long = n >= 20
+    over = entropy[long] - limits(models, guess[long], n[long])
+    models.room = MARGIN + (max(0.0, np.quantile(over, 1 - TAIL, method="higher")) if len(over) else 0.0) + UNSURE / np.sqrt(own)
     return models
 
 
+def limits(m: Models, best: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Cross-entropies that mean and spread of each best language allow texts of n characters."""
+    return m.mean[best] + SPREAD * m.spread[best] / np.sqrt(np.maximum(n, 1))
+
+
 def rejected(m: Models, bits: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Best language, its cross-entropy, whether that is too high, and all cross-entropies."""
     entropy = bits / np.maximum(n, 1)[:, None]
     best = entropy.argmin(1)
     lowest = entropy[np.arange(len(best)), best]
     odd = n == 0
-    if m.mean is not None:
-        odd = odd | (lowest > m.mean[best] + ROOM + SPREAD * m.spread[best] / np.sqrt(np.maximum(n, 1)))
+    if m.room is not None:
+        odd = odd | (lowest > limits(m, best, n) + m.room[best])
     return best, lowest, odd, entropy
 
 
