@@ -44,6 +44,8 @@ _TOKEN = re.compile(
 _ATTRIBUTE = re.compile(r"(class|id|role|style|hidden|aria-hidden)(?=[\s=>/]|\Z)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
 _SPACE = re.compile(r"\s+")
 _NAMED = re.compile(r"[a-z]+")
+#: A name of a layout, such as no-sidebar: it tells what a block has or lacks, not what it is.
+_LAYOUT = re.compile(r"(?<![a-z])(?:no|has|with|without)[-_]\S*")
 
 # words of HTML and of common page templates
 RAW = frozenset("script style textarea title noscript iframe template xmp noembed noframes".split())
@@ -56,8 +58,8 @@ NOT_MAIN = frozenset(
     "ad ads advert adverts advertisement advertising adsense banner sponsor sponsored promo promotion comment comments commentlist disqus reply replies respond cookie cookies consent gdpr notice notices notification alert popup modal overlay newsletter subscribe subscription signup login nav navbar navigation navi menu breadcrumb breadcrumbs pagination pager sidebar aside widget widgets footer masthead topbar toolbar share sharing social related recommended recommendations tags tagcloud skip contentinfo complementary dialog search form".split()
 )
 REMARKS = frozenset("comment comments commentlist disqus reply replies respond".split())
-#: A block that a name tells off goes only if this share of the page's text is left then, or, for
-#: reader comments, so many characters.
+#: A block that a name tells off goes only if this share of the text of the page, or of the article
+#: or main element that it lies in, is left then, or, for reader comments, so many characters.
 LEFT_SHARE = 0.1
 LEFT_CHARS = 40
 #: Part of the least plain density on the body path that siblings of the main block need.
@@ -93,7 +95,7 @@ def _named(attrs: str) -> tuple[int, bool]:
     for m in _ATTRIBUTE.finditer(attrs):
         key, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
         if key in ("class", "id", "role"):
-            words = _NAMED.findall(value)
+            words = _NAMED.findall(_LAYOUT.sub("", value))
             named = max(named, 2 * (not REMARKS.isdisjoint(words)), not NOT_MAIN.isdisjoint(words))
         elif key == "style":
             hidden = hidden or re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value) is not None
@@ -211,10 +213,22 @@ def _measure(block: Block) -> None:
     named = [b for b in order if b.named and not b.drop]
     held = [_above(b) for b in order if b.name in ("article", "main") and b.chars and not b.drop]
     left = whole
+    net = {id(b): b.chars for b in order}  # without what names have dropped
     for b in sorted(named, key=lambda b: b.chars):  # a name alone does not drop what holds the page, or its article
         rest = left - b.chars
-        b.drop = not any(id(b) in x for x in held) if held else rest >= (LEFT_CHARS if b.named == 2 else LEFT_SHARE * whole)
+        within = b.parent
+        while within is not None and within.name not in ("article", "main"):
+            within = within.parent
+        if within is not None and within.chars:
+            b.drop = net[id(within)] - net[id(b)] >= (LEFT_CHARS if b.named == 2 else LEFT_SHARE * within.chars)
+        else:
+            b.drop = rest >= (LEFT_CHARS if b.named == 2 else LEFT_SHARE * whole)
+        if held:
+            b.drop = not any(id(b) in x for x in held) and (within is None or b.drop)
         if b.drop:
+            lost = net[id(b)]
+            for x in _above(b):
+                net[x] -= lost
             left = rest + sum(x.chars for x in named if x.drop and x is not b and id(b) in _above(x))
     if any(b.drop for b in named):
         for b in named:
