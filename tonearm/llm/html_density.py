@@ -13,8 +13,9 @@ with T, LC, LT and C - LC of 0 taken as 1. A block's density sum is the sum over
 of largest sum is the main one. The threshold is the least density on the path from it to the
 body; along that path, headings and siblings of at least that density belong to the text too, as
 do siblings whose plain density, characters outside links a tag, is near the least on the path:
-the logarithm alone would leave out short sections. If the main block lies in an article or main
-element, only other articles are taken from outside it.
+the logarithm alone would leave out short sections. If the main block lies in an article, or else
+in a main element, all of that element belongs to the text, less what is dropped by kind or name,
+and only other articles are taken from outside the outermost of them.
 
 Defined results: a null or empty page gives an empty text; a page without tags is one block;
 broken markup is read as browsers do in the common cases (unclosed paragraphs and list items,
@@ -312,11 +313,12 @@ def main_text(page: str | None) -> tuple[str, float]:
     out: list[str] = []
     on_path = {id(b) for b in path}
     region = next((b for b in reversed(path) if b.name in ("article", "main")), None)
+    whole = next((b for b in reversed(path) if b.name == "article"), region) or best
     todo: list[tuple[Block, Block | str, bool]] = [(path[-1], path[-1], region is None)]  # with the block that holds it
     while todo:
         above, x, inside = todo.pop()
-        if x is best:
-            _text(best, out)
+        if x is whole:
+            _text(whole, out)
         elif isinstance(x, str):
             if inside and len(x) / max(1, above.tags) >= min(threshold, loose):
                 out.append(x)
