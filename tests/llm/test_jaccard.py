@@ -47,3 +47,11 @@ def test_stage_drops_near_copies(spark, sf_dir):
     assert sorted(r["doc_id"] for r in out) == sorted(set(root))
     assert all(r["text"] == texts[r["doc_id"]] for r in out)
     assert corpus_pipeline.near_duplicates(spark, d.limit(0), sf_dir).count() == 0
+
+
+def test_null_and_shared_ids_never_merge_groups(spark):
+    texts = [" ".join(f"{name}{i}" for i in range(30)) for name in ("a", "b", "c", "d", "e")]
+    rows = [(None, texts[0]), (None, texts[1]), (None, texts[1].upper()), (7, texts[2]), (7, texts[3]), (7, texts[3]), (None, texts[4]), (8, texts[4])]
+    out = corpus_pipeline.near_duplicates(spark, spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], SCHEMA), None).collect()
+    assert sorted(r["text"].lower() for r in out) == texts
+    assert {r["doc_id"] for r in out if r["text"] == texts[4]} == {8}
