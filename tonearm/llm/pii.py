@@ -7,15 +7,18 @@ points. Each kind is searched only in texts that hold a character it needs.
 Kinds: e-mail addresses; IPv4 addresses, with parts of at most 255; card numbers that pass Luhn;
 international phone numbers. The method adds IBANs that pass modulo 97, and social security
 numbers where a context word stands near. Every span has a score, raised by context words in the
-``NEAR`` code points before it; added kinds need ``ENOUGH``, the first four always stay.
-
-Patterns use possessive repeats and start only where a run of their characters starts or the last
-match ended, which keeps the leftmost match and bounds the work on long runs.
-
-Defined results: a null or empty text has no span; repeated rows are searched each alone; spans
-of different kinds may overlap, and ``redacted`` then replaces their union by the first one's
-mark; an empty table gives no rows; ``add_spans`` keeps other columns unless they have the name
-of one that it adds, which it replaces.
+``NEAR`` code points before it; added kinds need ``ENOUGH``, the first four always stay. The
+context of a match is the end of its gap and, if the gap is shorter, of the few pieces before.
+
+Work grows with the length of a text: patterns use possessive repeats and start only where a run
+of their characters starts or the last match ended, running sums are taken over arrays of ``RUN``
+numbers and then over the sums of those, and a span is cut out of the ``CUT`` code points around
+it, never from the start of the text.
+
+Defined results: a null or empty text has no span; a very long text is searched whole; repeated
+rows are searched each alone; spans of different kinds may overlap, and ``redacted`` then replaces
+their union by the first one's mark; an empty table gives no rows; ``add_spans`` keeps all other
+columns, and refuses a name for its own that the table already has.
 """
 
 from __future__ import annotations
@@ -26,6 +29,9 @@ from pyspark.sql import functions as F
 from ._common import read, whole_text
 
 NEAR = 40
+#: Length of the arrays over which running sums are taken directly.
+RUN = 256
+CUT = 2048
 ENOUGH = 0.6
 KINDS = ("email", "ip", "card", "phone", "iban", "ssn")
 BASE = 4
@@ -34,7 +40,7 @@ _LOCAL = "A-Za-z0-9._%+-"
 PATTERNS = {
     "email": f"(?:\\G|(?<![{_LOCAL}]))[{_LOCAL}]++@[A-Za-z0-9-]++(?:\\.[A-Za-z0-9-]++)++",
     "ip": "(?:\\G|(?<![0-9]))[0-9]++\\.[0-9]++\\.[0-9]++\\.[0-9]++",
-    "card": "[0-9](?:[\\x20-]?[0-9])++",
+    "card": "(?:\\G|(?<![0-9]))[0-9](?:[\\x20-]?[0-9]){13,}+",  # shorter runs never pass
     "phone": "\\+[0-9][\\x20().0-9-]+[0-9]",
     "iban": "(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\\x20?[A-Z0-9]){11,30}(?![A-Za-z0-9])",
     "ssn": "(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
@@ -52,7 +58,30 @@ SCORE = {"email": 0.8, "ip": 0.5, "card": 0.7, "phone": 0.6, "iban": 0.8, "ssn":
 LIFT = 0.3
 
 _PART = "0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
-_FOUND = "array<struct<start:long,end:long,found:string>>"
+_FOUND = "array<struct<start:long,end:long,found:string,before:string>>"
+#: Pieces before a gap that are looked at for context: NEAR code points of the shortest matches.
+_BACK = 8
+
+
+def running(values: Column, zero: Column, step, kind: str = "long") -> Column:
+    """For each value what ``step`` has made of those before it, starting from ``zero``.
+
+    Appending to an array copies it, so that is done for RUN values, and for every RUN-th.
+    """
+    empty = F.array().cast(f"array<{kind}>")
+
+    def walk(some: Column, begin: Column) -> Column:
+        start = F.struct(begin.alias("at"), empty.alias("out"))
+        add = lambda acc, x: F.struct(step(acc["at"], x).cast(kind).alias("at"), F.array_append(acc["out"], acc["at"]).alias("out"))
+        return F.aggregate(some, start, add, lambda acc: acc["out"])
+
+    def whole(v: Column) -> Column:
+        runs = F.transform(F.sequence(F.lit(0), F.floor((F.size(v) - 1) / RUN).cast("int")), lambda k: F.slice(v, k * RUN + 1, F.lit(RUN)))
+        ends = F.transform(runs, lambda r: F.aggregate(r, zero, lambda at, x: step(at, x).cast(kind)))
+        # what a run starts from: all values of the runs before it, in one step each
+        return F.flatten(F.zip_with(runs, walk(ends, zero), walk))
+
+    return F.when(F.size(values) > 0, F.get(F.transform(F.array(values), whole), F.lit(0))).otherwise(empty)
 
 
 def _needs(kind: str, text: Column) -> Column:
@@ -60,7 +89,7 @@ def _needs(kind: str, text: Column) -> Column:
     return {
         "email": text.contains("@"),
         "ip": text.rlike("[0-9]\\.[0-9]"),
-        "card": text.rlike("[0-9][\\x20-]?[0-9]"),
+        "card": text.rlike("[0-9](?:[\\x20-]?[0-9]){13}"),
         "phone": text.contains("+") & digit,
         "iban": text.rlike("[A-Z]{2}[0-9]{2}"),
         "ssn": text.rlike("[0-9]{3}-[0-9]{2}-"),
@@ -68,20 +97,29 @@ def _needs(kind: str, text: Column) -> Column:
 
 
 def located(text: Column, kind: str) -> Column:
-    """Every match with its place: ``array<struct<start, end, found>>``."""
+    """Every match with its place and the context before it: ``array<struct<start, end, found, before>>``."""
     pattern = F.lit(f"\\G((?s:.*?))({PATTERNS[kind]})")
     gaps, matches = F.regexp_extract_all(text, pattern, F.lit(1)), F.regexp_extract_all(text, pattern, F.lit(2))
+    pairs = F.arrays_zip(gaps.alias("gap"), matches.alias("found"))
+
+    def place(pairs: Column) -> Column:
+        sizes = F.transform(pairs, lambda x: (F.length(x["gap"]) + F.length(x["found"])).cast("long"))
+        ends = running(sizes, F.lit(0).cast("long"), lambda at, n: at + n)  # of the match before
+        # ends of the pieces before, each with its match; only a short gap needs them
+        tails = F.transform(pairs, lambda x: F.concat(F.right(x["gap"], F.lit(NEAR)), F.right(x["found"], F.lit(NEAR))))
+        rows = F.arrays_zip(pairs.alias("x"), ends.alias("at"))
+
+        def one(row: Column, tails: Column, i: Column) -> Column:
+            gap, found = row["x"]["gap"], row["x"]["found"]
+            start = row["at"] + F.length(gap)
+            back = F.concat(*[F.coalesce(F.get(tails, i - k), F.lit("")) for k in range(_BACK, 0, -1)])
+            before = F.when(F.length(gap) >= NEAR, F.right(gap, F.lit(NEAR))).otherwise(F.right(F.concat(back, gap), F.lit(NEAR)))
+            return F.struct(start.alias("start"), (start + F.length(found)).alias("end"), found.alias("found"), before.alias("before"))
 
-    def add(acc: Column, x: Column) -> Column:
-        start = acc["at"] + F.length(x["gap"])
-        end = start + F.length(x["found"])
-        one = F.struct(start.cast("long").alias("start"), end.cast("long").alias("end"), x["found"].alias("found"))
-        return F.struct(end.cast("long").alias("at"), F.array_append(acc["spans"], one).alias("spans"))
+        return F.get(F.transform(F.array(tails), lambda t: F.transform(rows, lambda row, i: one(row, t, i))), F.lit(0))
 
     none = F.array().cast(_FOUND)
-    pairs = F.arrays_zip(gaps.alias("gap"), matches.alias("found"))
-    placed = F.aggregate(pairs, F.struct(F.lit(0).cast("long").alias("at"), none.alias("spans")), add, lambda acc: acc["spans"])
-    return F.when(_needs(kind, text), placed).otherwise(none)
+    return F.when(_needs(kind, text), F.get(F.transform(F.array(pairs), place), F.lit(0))).otherwise(none)
 
 
 def luhn(digits: Column) -> Column:
@@ -122,9 +160,7 @@ def spans_of(text: Column, kind: str) -> Column:
     number = KINDS.index(kind)
 
     def scored(x: Column) -> Column:
-        start = F.greatest(x["start"] - NEAR, F.lit(0))
-        before = F.lower(F.substr(text, (start + 1).cast("int"), (x["start"] - start).cast("int")))
-        score = F.lit(SCORE[kind]) + F.when(before.rlike(CONTEXT[kind]), LIFT).otherwise(0.0)
+        score = F.lit(SCORE[kind]) + F.when(F.lower(x["before"]).rlike(CONTEXT[kind]), LIFT).otherwise(0.0)
         return F.struct(x["start"].alias("start"), F.lit(number).alias("kind_no"), x["end"].alias("end"), F.lit(kind).alias("kind"), F.least(score, F.lit(1.0)).alias("score"))
 
     out = F.transform(F.filter(located(text, kind), lambda x: confirmed(kind, x["found"])), scored)
@@ -136,7 +172,9 @@ def written(spans: Column) -> Column:
 
 
 def add_spans(documents: DataFrame, column: str = "text", name: str = "pii_spans") -> DataFrame:
-    """``documents`` with its spans by start, then kind."""
+    """``documents`` with its spans by start, then kind, in a column of its own."""
+    if name in documents.columns:
+        raise ValueError(f"the table has a column {name!r}; give another name")
     text = whole_text(documents, column)
     return documents.withColumn(name, F.array_sort(F.concat(*[spans_of(text, k) for k in KINDS])))
 
@@ -144,18 +182,26 @@ def add_spans(documents: DataFrame, column: str = "text", name: str = "pii_spans
 def redacted(text: Column, spans: Column) -> Column:
     """The text with each span, or union of overlapping spans, replaced by its kind's mark."""
 
-    def add(acc: Column, x: Column) -> Column:
-        fresh = x["start"] >= acc["at"]
-        gap = F.substr(text, (acc["at"] + 1).cast("int"), (x["start"] - acc["at"]).cast("int"))
-        mark = F.concat(F.lit("["), F.upper(x["kind"]), F.lit("]"))
-        out = F.when(fresh, F.array_append(acc["out"], F.concat(gap, mark))).otherwise(acc["out"])
-        return F.struct(F.greatest(acc["at"], x["end"]).alias("at"), out.alias("out"))
+    def clean(pieces: Column, spans: Column) -> Column:
+        reached = running(F.transform(spans, lambda x: x["end"]), F.lit(0).cast("long"), lambda at, end: F.greatest(at, end))
+        fresh = F.filter(F.arrays_zip(spans.alias("x"), reached.alias("from")), lambda r: r["x"]["start"] >= r["from"])
+
+        def cut(a: Column, b: Column) -> Column:
+            """Code points a to b, from the pieces that hold them."""
+            first = F.floor(a / CUT).cast("int")
+            some = F.array_join(F.slice(pieces, first + 1, F.floor(b / CUT).cast("int") - first + 1), "")
+            return F.substr(some, (a - first * CUT + 1).cast("int"), (b - a).cast("int"))
+
+        marked = F.transform(fresh, lambda r: F.concat(cut(r["from"], r["x"]["start"]), F.lit("["), F.upper(r["x"]["kind"]), F.lit("]")))
+        last = F.array_max(F.transform(spans, lambda x: x["end"]))
+        length = F.aggregate(pieces, F.lit(0).cast("long"), lambda n, p: n + F.length(p))
+        return F.concat(F.array_join(marked, ""), cut(last, length))
 
-    def end(acc: Column) -> Column:
-        return F.concat(F.array_join(acc["out"], ""), F.substr(text, (acc["at"] + 1).cast("int")))
+    def within(pieces: Column) -> Column:
+        return F.get(F.transform(F.array(spans), lambda s: clean(pieces, s)), F.lit(0))
 
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<string>").alias("out"))
-    return F.when(F.size(spans) > 0, F.aggregate(spans, start, add, end)).otherwise(text)
+    pieces = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{CUT}}}"), F.lit(0))
+    return F.when(F.size(spans) > 0, F.get(F.transform(F.array(pieces), within), F.lit(0))).otherwise(text)
 
 
 def _is_kind(kind: str):
