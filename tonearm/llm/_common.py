@@ -8,6 +8,8 @@ from __future__ import annotations
 
 import os
 import uuid
+from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -43,14 +45,42 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{scratch_root(spark)}/tonearm/{name}-{uuid.uuid4().hex}"
 
 
+def free_name(name: str, taken: Iterable[str]) -> str:
+    """``name``, with as many underscores after it as make it differ from all of ``taken``."""
+    used = {c.lower() for c in taken}
+    while name.lower() in used:
+        name += "_"
+    return name
+
+
+_MADE: list[list[str]] = []
+
+
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back, which cuts its lineage."""
     spark = df.sparkSession
     path = new_path(spark, name)
     df.write.parquet(path)
+    if _MADE:
+        _MADE[-1].append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def cleared(spark: SparkSession) -> Iterator[None]:
+    """Remove, at the end, the tables that ``stage`` wrote inside.
+
+    For callers that have written what they wanted by then; an error leaves them in place.
+    """
+    _MADE.append([])
+    try:
+        yield
+        for path in _MADE[-1]:
+            remove_path(spark, path)
+    finally:
+        _MADE.pop()
+
+
 def remove_path(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     where = jvm.org.apache.hadoop.fs.Path(path)
