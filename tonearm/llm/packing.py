@@ -1,17 +1,18 @@
 """Packing of documents into fixed windows by minimum bin slack.
 
 Each document's ids are cut into full windows and one remainder. Within a group of about
-``DOCS_A_GROUP`` documents, a window is seeded with the longest remainder left; a subset-sum
+``PIECES_A_GROUP`` pieces, a window is seeded with the longest remainder left; a subset-sum
 dynamic program over the multiset of remaining lengths, held as one bitset per item, finds the
 fill closest to capacity, and backtracking gives the count of each length. The same pattern is
 then used as often as the counts allow.
 
-Groups are independent: they are dealt by a hash of ``doc_id``, their number grows with the
-input and their size does not, so no task holds more than a group. Only piece metadata is
-shuffled, never text.
+Groups are independent: pieces are dealt by a hash of all that is known of them and, of equal
+pieces, a running number, so that neither a long document nor copies of one fill a group. The
+number of groups grows with the input and their size does not; no task holds more than a group.
+Only piece metadata is shuffled, never text.
 
-Defined results: a null or empty text is a document of the end id alone; repeated rows are
-packed once each; a very long text gives many full windows; an empty table gives no rows; other
+Defined results: a null or empty text is a document of the end id alone; repeated rows and rows
+without an id are packed once each; a very long text gives many full windows; an empty table gives no rows; other
 columns are ignored.
 """
 
@@ -25,12 +26,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import read, ship, tokenizer_path
+from ._common import read, ship, stage, tokenizer_path
 from .tokens import word_ids
 
 CAPACITY = 2048
 END_ID = 1
-DOCS_A_GROUP = 8192
+PIECES_A_GROUP = 8192
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 PACKED = PIECES + ", sequence_id long, offset long"
@@ -102,9 +103,9 @@ def pieces_of(documents: DataFrame, vocabulary: str, capacity: int = CAPACITY) -
     return documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(cut, PIECES)
 
 
-def pack(pieces: DataFrame, n_documents: int, capacity: int = CAPACITY, docs_a_group: int = DOCS_A_GROUP) -> DataFrame:
+def pack(pieces: DataFrame, n_pieces: int, capacity: int = CAPACITY, pieces_a_group: int = PIECES_A_GROUP) -> DataFrame:
     """Give every piece its sequence and its offset there."""
-    groups = max(1, round(n_documents / docs_a_group))
+    groups = max(1, round(n_pieces / pieces_a_group))
 
     def fill(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["doc_id", "start", "ids_crc32"], kind="stable").reset_index(drop=True)
@@ -126,7 +127,9 @@ def pack(pieces: DataFrame, n_documents: int, capacity: int = CAPACITY, docs_a_g
         return pdf.drop(columns="pack_group").assign(sequence_id=sequence * groups + pdf["pack_group"], offset=offset)
 
     ship(pieces.sparkSession)
-    dealt = pieces.withColumn("pack_group", F.pmod(F.xxhash64("doc_id"), F.lit(groups)))
+    known = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
+    each = pieces.groupBy(*known).agg(F.count("*").alias("copies")).withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
+    dealt = each.select(*known, F.pmod(F.xxhash64(*known, "copy"), F.lit(groups)).alias("pack_group"))
     return dealt.groupBy("pack_group").applyInPandas(fill, PACKED)
 
 
@@ -147,7 +150,8 @@ def materialise(documents: DataFrame, packed: DataFrame, vocabulary: str) -> Dat
 
 def pack_documents(documents: DataFrame, vocabulary: str | None = None, capacity: int = CAPACITY) -> DataFrame:
     """Pieces of all documents with sequence and offset; see the module for the method."""
-    return pack(pieces_of(documents, vocabulary or tokenizer_path(), capacity), documents.count(), capacity)
+    pieces = stage(pieces_of(documents, vocabulary or tokenizer_path(), capacity), "pack-pieces")
+    return pack(pieces, pieces.count(), capacity)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
