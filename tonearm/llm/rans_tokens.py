@@ -17,7 +17,8 @@ states; the words (16-bit); crc32 of all before.
 
 Defined results: a null or empty text is a document of the end id alone; repeated rows stay, in
 any order among themselves; a null ``doc_id`` sorts first and comes back null; an empty table
-writes no block and returns no row; other columns are ignored.
+writes no block and returns no row; a very long text is one document of one block; ids of 65,536
+or more do not fit the format and raise; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -173,40 +174,43 @@ def write_tokens(documents: DataFrame, path: str, vocabulary: str, block_ids: in
     def encode(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code, coded = word_ids(vocabulary).encode, []
         doc_ids: list[int] = []
+        lengths: list[int] = []
         counts = np.zeros(size_of_vocabulary, "i8")
         for batch in batches:
             doc_ids += [NULL_ID if x is None else x for x in batch.column(0).to_pylist()]
-            for text in batch.column(1):
-                ids = np.frombuffer(code(text.as_py()) + end, "<u4").astype("u2")
-                counts += np.bincount(ids, minlength=size_of_vocabulary) if len(ids) > 4096 else 0
-                if len(ids) <= 4096:
-                    np.add.at(counts, ids, 1)
-                coded.append(ids)
-        if not coded:
+            raw = [code(text.as_py()) for text in batch.column(1)]
+            lengths += [len(x) // 4 + 1 for x in raw]
+            ids = np.frombuffer(end.join([*raw, b""]), "<u4")
+            if len(ids) and ids.max() >= size_of_vocabulary:
+                raise ValueError(f"id {ids.max()} does not fit 16 bits")
+            coded.append(ids.astype("u2"))
+            counts += np.bincount(coded[-1], minlength=size_of_vocabulary)
+        if not lengths:
             return
         table, here = Table(scaled_table(counts)), TaskContext.get().partitionId()
+        flat = np.concatenate(coded)
+        coded.clear()
+        starts = np.concatenate([[0], np.cumsum(lengths, dtype="i8")])
 
         shared = table.pack()
         segment, at = 0, 0
-        while at < len(coded):
-            parts, n_ids, n_docs = [struct.pack("<I", len(shared)), shared], 0, 0
+        while at < len(lengths):
+            parts, first = [struct.pack("<I", len(shared)), shared], at
             for _ in range(SEGMENT_BLOCKS):
-                to, n = at, 0
-                while to < len(coded) and (n == 0 or n + len(coded[to]) <= block_ids):
-                    n += len(coded[to])
-                    to += 1
-                if to == at:
-                    break
-                block = pack_block(table, doc_ids[at:to], [len(x) for x in coded[at:to]], np.concatenate(coded[at:to]))
+                # as many whole documents as fit, and one at least
+                to = max(at + 1, int(np.searchsorted(starts, starts[at] + block_ids, "right")) - 1)
+                block = pack_block(table, doc_ids[at:to], lengths[at:to], flat[starts[at] : starts[to]])
                 parts += [struct.pack("<I", len(block)), block]
-                coded[at:to] = [None] * (to - at)  # free as we go
-                n_ids, n_docs, at = n_ids + n, n_docs + to - at, to
-            values = ([here], pa.int32()), ([segment], pa.int32()), ([n_ids], pa.int64()), ([n_docs], pa.int64()), ([b"".join(parts)], pa.binary())
+                at = to
+                if at >= len(lengths):
+                    break
+            values = ([here], pa.int32()), ([segment], pa.int32()), ([int(starts[at] - starts[first])], pa.int64()), ([at - first], pa.int64()), ([b"".join(parts)], pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in values], names=["range_id", "segment", "n_ids", "n_docs", "payload"])
             segment += 1
 
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    ordered = docs.repartitionByRange(partitions_for(docs), "doc_id").sortWithinPartitions("doc_id")
+    # rows that share an id are dealt to several ranges by their text
+    ordered = docs.repartitionByRange(partitions_for(docs), F.col("doc_id"), F.xxhash64("text")).sortWithinPartitions(F.col("doc_id"), F.xxhash64("text"))
     ordered.mapInArrow(encode, FILE).write.option("compression", "none").parquet(path)
 
 
