@@ -33,6 +33,5 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
-    "op3_token_rollups": token_rollups.ORACLE_SQL,
     "op9_pivot_topk": pivot_search.ORACLE_SQL,
 }
