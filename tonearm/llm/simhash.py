@@ -3,27 +3,31 @@
 Fingerprints that differ in ``RADIUS`` bits or fewer are linked; groups are the connected
 components. Exact copies meet first: the rest works on distinct fingerprints.
 
-1. Bit statistics over all distinct fingerprints give how often two of them differ in each bit,
-   and how the bits correlate. Correlated bits are put into one partition, so that partitions
-   are as independent as the data allow.
+1. Bit statistics over all distinct fingerprints give how the bits correlate. Correlated bits are
+   put into one partition, so that partitions are as independent as the data allow.
 2. With m partitions, two fingerprints within RADIUS are within t_i on some partition i whenever
    the thresholds t_i (each at least -1, an unused partition) sum to RADIUS - m + 1. Dynamic
-   programming over the estimated candidate counts allocates the thresholds, for m of 2 to 4; the
+   programming over the candidate counts, estimated from the distances of a sample of
+   fingerprints on each partition, allocates the thresholds, for m of 2 to 4; the
    cheapest m is used. Longer partitions pay off as the number of fingerprints grows.
 3. Each fingerprint goes to the bucket of its own value on each used partition, and as a probe to
    those within t_i. A bucket of more than ``BUCKET`` rows is split again by the same principle:
    its fingerprints agree on the partition up to the probes' flips, so the other bits are cut
    into RADIUS + 1 parts, two linked ones agree on at least one, and that part's value extends
-   the key. No bucket is capped or dropped; after ``DEPTH`` splits the rest is compared whole.
-4. A bucket is compared in memory, in blocks, and gives a spanning forest of its links, never
-   all its pairs. Components follow by alternating large-star and small-star rounds on tables.
+   the key. No bucket is capped or dropped; after ``DEPTH`` splits a bucket that is still large
+   is cut into parts of about ``PART`` rows, and each two of its parts are compared in a task.
+4. A bucket, or two parts of one, is compared in memory, in blocks, and gives a spanning forest of
+   its links, never all its pairs. Components follow by alternating large-star and small-star rounds on tables.
 
-Only counters, bit statistics and thresholds reach the driver.
+Documents get their component by their fingerprint; the fingerprints of more than 1 / ``HOT``
+of all documents, fewer than ``HOT`` in number, are sent to all tasks, so that their documents
+need not meet. Only counters, bit statistics, a sample of ``SAMPLE`` fingerprints and thresholds
+reach the driver.
 
 Defined results: words are split at ASCII white space; a null, empty or blank text has
 fingerprint zero and is linked like any other; repeated rows keep one row each; a null ``doc_id``
-never names a component unless all its members are null; an empty table gives no rows; other
-columns are ignored.
+never names a component unless all its members are null; a very long text is read whole; an empty
+table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -47,6 +51,9 @@ BUCKET = 512
 DEPTH = 3
 BLOCK = 1024
 ROUNDS = 60
+PART = 2048
+HOT = 512
+SAMPLE = 2000
 
 
 # ---- fingerprints
@@ -127,10 +134,21 @@ def partitions(n: int, both: np.ndarray, m: int) -> list[list[int]]:
     return out
 
 
-def candidate_estimates(n: int, both: np.ndarray, group: list[int], radius: int) -> list[float]:
+def sampled_distances(sample: np.ndarray, group: list[int], radius: int) -> np.ndarray:
+    """Part of the sample's pairs that differ in 0, 1, .. radius bits of the group."""
+    mask = np.uint64(sum(1 << b for b in group))
+    u, n = sample.view("u8") & mask, len(sample)
+    counts = np.zeros(65)
+    for i in range(n - 1):
+        counts += np.bincount(np.bitwise_count(u[i] ^ u[i + 1 :]), minlength=65)
+    return counts[: radius + 1] / max(1, n * (n - 1) // 2)
+
+
+def candidate_estimates(n: int, both: np.ndarray, group: list[int], radius: int, sample: np.ndarray | None = None) -> list[float]:
     """For t = -1..radius: pairs expected within t on this partition, plus the probes for it.
 
-    Two fingerprints differ in bit b with probability 2 p (1 - p), as counted over all.
+    As the sample's pairs show it; too rare for a sample, as if bits were independent, of which two
+    fingerprints differ in each with probability 2 p (1 - p).
     """
     p = both.diagonal()[group] / max(1, n)
     dist = np.zeros(radius + 1)
@@ -138,6 +156,8 @@ def candidate_estimates(n: int, both: np.ndarray, group: list[int], radius: int)
     for d in 2 * p * (1 - p):
         dist[1:] = dist[1:] * (1 - d) + dist[:-1] * d
         dist[0] *= 1 - d
+    if sample is not None and len(sample) > 1:
+        dist = np.maximum(dist, sampled_distances(sample, group, radius))
     out, probes = [0.0], 0
     for t in range(radius + 1):
         probes += comb(len(group), t)
@@ -160,12 +180,12 @@ def allocate(costs: list[list[float]], radius: int) -> tuple[float, list[int]]:
     return best[radius - m + 1]
 
 
-def plan(n: int, both: np.ndarray, radius: int = RADIUS) -> list[tuple[list[int], int]]:
+def plan(n: int, both: np.ndarray, radius: int = RADIUS, sample: np.ndarray | None = None) -> list[tuple[list[int], int]]:
     """(bits, threshold) of each used partition."""
     found = []
     for m in range(2, radius + 2):
         groups = partitions(n, both, m)
-        cost, ts = allocate([candidate_estimates(n, both, g, radius) for g in groups], radius)
+        cost, ts = allocate([candidate_estimates(n, both, g, radius, sample) for g in groups], radius)
         found.append((cost, [(g, t) for g, t in zip(groups, ts, strict=True) if t >= 0]))
     return min(found, key=lambda x: x[0])[1]
 
@@ -242,19 +262,34 @@ def forest(fp: np.ndarray, own: np.ndarray | None = None, radius: int = RADIUS,
     return list(zip(fp[moved].tolist(), fp[label[moved]].tolist(), strict=True))
 
 
+def in_parts(work: DataFrame, sizes: DataFrame, bucket: int) -> DataFrame:
+    """Rows of all buckets; of one over ``bucket`` rows a copy for each two of its parts.
+
+    A fingerprint is in one part of its bucket, which meets each other part in a bucket of its own.
+    """
+    part = max(1, min(PART, bucket))
+    cuts = F.when(F.col("rows_there") > bucket, F.ceil(F.col("rows_there") / part)).otherwise(1).cast("long")
+    mine = F.pmod(F.xxhash64("fp"), F.col("cuts"))
+    pair = F.transform(F.sequence(F.lit(0).cast("long"), F.col("cuts") - 1), lambda j: F.struct(F.least(j, F.col("mine")).alias("i"), F.greatest(j, F.col("mine")).alias("j")))
+    dealt = work.join(sizes.select("part", "key", cuts.alias("cuts")), ["part", "key"]).withColumn("mine", mine).withColumn("pair", F.explode(pair))
+    key = F.when(F.col("cuts") == 1, F.col("key")).otherwise(F.xxhash64("key", "pair.i", "pair.j"))
+    return dealt.select("part", key.alias("key"), "fp", "own")
+
+
 def links(distinct: DataFrame, radius: int = RADIUS, bucket: int = BUCKET) -> DataFrame:
     """``a, b``: links whose components are those of all links."""
     spark = distinct.sparkSession
     ship(spark)
     n, both = bit_statistics(distinct)
-    parts = plan(n, both, radius)
+    sample = distinct.orderBy(F.xxhash64("fp"), "fp").limit(SAMPLE).select("fp").toArrow()
+    parts = plan(n, both, radius, np.asarray(sample.column("fp").combine_chunks()) if len(sample) else None)
     work, small = stage(bucketed(distinct, parts), "simhash-buckets"), []
     for depth in range(DEPTH + 1):
         sizes = work.groupBy("part", "key").agg(F.count("*").alias("rows_there"), F.max("own").alias("any_own"))
         sizes = stage(sizes.where("rows_there > 1 AND any_own"), "simhash-sizes")
         large = sizes.where(F.col("rows_there") > bucket).select("part", "key")
         if depth == DEPTH or large.isEmpty():
-            small.append(work.join(sizes.select("part", "key"), ["part", "key"], "left_semi"))
+            small.append(in_parts(work, sizes, bucket))
             break
         small.append(work.join(sizes.where(F.col("rows_there") <= bucket).select("part", "key"), ["part", "key"], "left_semi"))
         work = stage(finer(work.join(large, ["part", "key"], "left_semi"), parts, depth, radius), "simhash-finer")
@@ -289,7 +324,8 @@ def links(distinct: DataFrame, radius: int = RADIUS, bucket: int = BUCKET) -> Da
         if held:
             yield pa.RecordBatch.from_pandas(compare(pd.concat(held)), preserve_index=False)
 
-    dealt = rows.repartition("part", "key").sortWithinPartitions("part", "key")
+    # by number: partitions would be joined by their bytes, which say little of the work
+    dealt = rows.repartition(max(64, int(spark.conf.get("spark.sql.shuffle.partitions"))), "part", "key").sortWithinPartitions("part", "key")
     return dealt.mapInArrow(compare_sorted, "a long, b long").dropDuplicates()
 
 
@@ -324,14 +360,21 @@ def components(edges: DataFrame, rounds: int = ROUNDS) -> DataFrame:
 def near_duplicates(documents: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE, bucket: int = BUCKET) -> DataFrame:
     """``doc_id, fingerprint, component_id``, a row per document."""
     docs = stage(fingerprints(documents, shingle), "simhash-fp")
-    distinct = stage(docs.groupBy("fp").agg(F.min("doc_id").alias("first")), "simhash-distinct")
-    roots = stage(components(links(distinct, radius, bucket)), "simhash-roots")
+    distinct = stage(docs.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("copies")), "simhash-distinct")
+    roots = stage(components(links(distinct.select("fp"), radius, bucket)), "simhash-roots")
     member = distinct.join(roots, distinct["fp"] == roots["node"])
     name = member.groupBy("root").agg(F.min("first").alias("component_id"))
     named = roots.join(name, "root").select(F.col("node").alias("fp"), F.col("component_id").alias("linked"))
     # a fingerprint without links is its own component
-    least = distinct.join(named, "fp", "left").select("fp", F.coalesce("linked", "first").alias("component_id"))
-    return docs.join(least, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    least = distinct.join(named, "fp", "left").select("fp", "copies", F.coalesce("linked", "first").alias("component_id"))
+    least = stage(least, "simhash-least")
+    n = least.agg(F.sum("copies")).first()[0] or 0
+    hot = F.col("copies") * HOT > n  # so fewer than HOT rows
+    often = F.broadcast(least.where(hot).select("fp", F.col("component_id").alias("often"), F.lit(True).alias("is_often")))
+    marked = docs.join(often, "fp", "left")
+    found = marked.where("is_often").select("doc_id", "fp", F.col("often").alias("component_id"))
+    found = found.unionByName(marked.where("is_often IS NULL").select("doc_id", "fp").join(least.where(~hot).select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id"))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
