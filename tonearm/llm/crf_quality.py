@@ -5,14 +5,19 @@ line features and on pairs of neighbouring labels; Viterbi decoding gives the be
 a document stays if content lines hold at least ``CONTENT_SHARE`` of its word characters. Base
 rules (see ``query``) come first.
 
-The weights are trained here, by gradient ascent on the likelihood of a sample of labelled
-documents, ``TRAIN_DOCS`` on average, of ``TRAIN_LINES`` lines at most: a document's quality
-label is the label of its lines. Everything else covers all documents and whole texts, as arrays
-over about ``CHARS`` characters at a time. Words and lines are compared by 64-bit hashes.
+The weights are trained here, by gradient ascent on the likelihood of chains of labelled lines.
+Labels come by document, so a chain of one document never changes its label, and would teach that
+labels never change. Half of the chains are therefore spliced: runs of lines of good documents and
+runs of lines of bad ones take turns, each line with the label of its own document. Chains are cut
+from about ``TRAIN_DOCS`` labelled documents, chosen by a hash, long ones into several; at most
+``TRAIN_CHAINS`` chains of ``TRAIN_LINES`` lines are used, chosen by a fixed draw. Everything else
+covers all documents and whole texts, as arrays over about ``CHARS`` characters at a time. Words
+and lines are compared by 64-bit hashes.
 
 Defined results: a null text is empty, and fails the base rules as it has too few words; repeated
-rows are judged each alone; without a labelled document every line is content; an empty table
-gives no rows; other columns are ignored.
+rows are judged each alone; without a labelled document that has a word, or with labels of one
+kind only, there is nothing to learn and every line is content; a very long text is one chain of
+all its lines; an empty table gives no rows; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -29,7 +34,9 @@ from pyspark.sql import functions as F
 from ._common import read, ship
 
 TRAIN_DOCS = 1500
-TRAIN_LINES = 64
+TRAIN_LINES = 32
+TRAIN_CHAINS = 2048
+RUN_LINES = 4
 CONTENT_SHARE = 0.5
 CHARS = 1 << 20
 MIN_WORDS = 50
@@ -142,14 +149,15 @@ def _log_sum(x: np.ndarray, axis: int) -> np.ndarray:
 def train(x: np.ndarray, n: np.ndarray, y: np.ndarray, steps: int = STEPS, rate: float = 0.1, shrink: float = 1e-3) -> tuple[np.ndarray, np.ndarray]:
     """Weights (features, 2) and label pairs (2, 2) of largest penalised likelihood, by Adam.
 
-    x: (docs, longest, features); n: lines of each; y: (docs,), the label of all its lines.
+    x: (chains, longest, features); n: lines of each; y: (chains,), the label of all its lines, or
+    (chains, longest), those of each.
     """
     docs, longest, width = x.shape
     theta = np.zeros(width * 2 + 4)
     m, v = np.zeros_like(theta), np.zeros_like(theta)
     live = np.arange(longest)[None] < n[:, None]
-    hot = np.eye(2)[y]
-    seen = np.concatenate([np.einsum("dtf,dk->fk", x * live[..., None], hot).ravel(), np.einsum("d,dj,dk->jk", np.maximum(n - 1, 0), hot, hot).ravel()])
+    hot = np.eye(2)[y if y.ndim == 2 else np.repeat(y[:, None], longest, 1)] * live[..., None]
+    seen = np.concatenate([np.einsum("dtf,dtk->fk", x, hot).ravel(), np.einsum("dtj,dtk->jk", hot[:, :-1], hot[:, 1:]).ravel()])
     total = max(1, int(n.sum()))
     for step in range(1, steps + 1):
         w, pair = theta[: width * 2].reshape(width, 2), theta[width * 2 :].reshape(2, 2)
@@ -202,6 +210,36 @@ def viterbi(features: np.ndarray, doc: np.ndarray, docs: int, weights: np.ndarra
     return label
 
 
+def chains(features: np.ndarray, doc: np.ndarray, good: np.ndarray, seed: int = 7) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
+    """Padded features, lengths and line labels of training chains; None without both labels.
+
+    features, doc: of the lines of all documents; good: label of each document.
+    """
+    rng = np.random.default_rng(seed)
+    begin = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1]])) if len(doc) else np.zeros(0, "i8")
+    end = np.append(begin[1:], len(doc))
+    cuts = [(a, min(a + TRAIN_LINES, b)) for s, b in zip(begin, end, strict=True) for a in range(s, b, TRAIN_LINES)]
+    sides = [[c for c in cuts if good[doc[c[0]]] == k] for k in (0, 1)]
+    if not all(sides):
+        return None
+    pure = [cuts[i] for i in rng.permutation(len(cuts))[: TRAIN_CHAINS // 2]]
+    rows = [np.arange(a, b) for a, b in pure]
+    for _ in range(len(pure)):
+        side, left, parts = int(rng.integers(2)), int(rng.integers(2, TRAIN_LINES + 1)), []
+        while left > 0:
+            a, b = sides[side][int(rng.integers(len(sides[side])))]
+            n = min(left, b - a, int(rng.geometric(1 / RUN_LINES)))
+            at = int(rng.integers(a, b - n + 1))
+            parts.append(np.arange(at, at + n))
+            left, side = left - n, 1 - side
+        rows.append(np.concatenate(parts))
+    n = np.array([len(r) for r in rows])
+    x, y = np.zeros((len(rows), int(n.max()), features.shape[1])), np.zeros((len(rows), int(n.max())), "i8")
+    for i, r in enumerate(rows):
+        x[i, : len(r)], y[i, : len(r)] = features[r], good[doc[r]]
+    return x, n, y
+
+
 def fit(documents: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS) -> tuple[np.ndarray, np.ndarray] | None:
     """Weights from about ``train_docs`` labelled documents, chosen by a hash; None without any."""
     known = labels.where("quality IS NOT NULL AND doc_id IS NOT NULL").groupBy(F.col("doc_id").cast("long").alias("l_doc_id")).agg(F.max(F.col("quality").cast("int")).alias("l_quality"))
@@ -210,14 +248,31 @@ def fit(documents: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS) -
         return None
     limit = int(min(1.0, train_docs / n) * (1 << 32))
     some = known.where(F.pmod(F.xxhash64("l_doc_id", F.lit(11)), F.lit(1 << 32)) < limit)
-    rows = documents.join(some, F.col("doc_id").cast("long") == F.col("l_doc_id")).select("l_doc_id", F.coalesce("text", F.lit("")).alias("text"), "l_quality")
-    rows = rows.where(F.size(F.split("text", "\n")) <= TRAIN_LINES).toArrow().sort_by([("l_doc_id", "ascending"), ("text", "ascending")])
+    texts = documents.select(F.col("doc_id").cast("long").alias("d_doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    rows = texts.join(some, F.col("d_doc_id") == F.col("l_doc_id")).select("l_doc_id", "text", "l_quality").toArrow().sort_by([("l_doc_id", "ascending"), ("text", "ascending")])
     if not len(rows):
         return None
-    lines = Lines(rows.column("text").to_pylist())
-    x, size = padded(lines.features, lines.doc, len(rows))
-    y = (np.asarray(rows.column("l_quality")) > 0).astype("i8")
-    return train(x, size, y) if x.shape[1] else None
+    features, doc, at = [], [], 0
+    for part in _by_size(rows.column("text").to_pylist()):
+        lines = Lines(part)
+        features.append(lines.features)
+        doc.append(lines.doc + at)
+        at += len(part)
+    cut = chains(np.concatenate(features), np.concatenate(doc), (np.asarray(rows.column("l_quality")) > 0).astype("i8"))
+    return train(*cut) if cut else None
+
+
+def _by_size(texts: list[str]) -> Iterator[list[str]]:
+    """The texts in lists of about CHARS characters."""
+    part, size = [], 0
+    for t in texts:
+        part.append(t)
+        size += len(t)
+        if size >= CHARS:
+            yield part
+            part, size = [], 0
+    if part:
+        yield part
 
 
 def judge(documents: DataFrame, model: tuple[np.ndarray, np.ndarray] | None, min_words: int = MIN_WORDS, share: float = CONTENT_SHARE) -> DataFrame:
