@@ -11,13 +11,15 @@ seen. The room is ``MARGIN``, what all but ``TAIL`` of that sample need, and ``U
 the square root of the language's texts in it, since the mean of a few texts says little.
 
 The models are fitted on a sample of ``TRAIN_DOCS`` labelled documents a language on average, as
-is the calibration; the rest covers all documents and whole texts. Scores of distinct words are
-kept by each worker, ``MEMO`` words at most.
-
-Defined results: a null text, or one without a letter, is ``und`` with score 0 and is rejected;
-so is every text if no document has a label; repeated rows are scored each alone; ties go to the
-first language in order; a null ``doc_id`` is not held out; an empty table gives no rows; other
-columns are never read.
+is the calibration; a language of fewer than ``FEW`` documents is fitted on all of them and takes
+its limits from all languages' texts. The rest covers all documents and whole texts. Scores of
+distinct words are kept by each worker, ``MEMO`` words at most.
+
+Defined results: a null text, or one without a letter, is ``und`` with score 0 and is rejected; if
+no document has a label there is no model, every text is ``und`` with score 0 and none is rejected;
+a very long text is scored whole; repeated rows are scored each alone; ties go to the first
+language in order; a null ``doc_id`` is not held out; an empty table gives no rows; other columns
+are never read, and pass through ``keep_accepted`` whatever their names.
 """
 
 from __future__ import annotations
@@ -35,6 +37,7 @@ from ._common import read, ship
 
 ORDER = 5
 TRAIN_DOCS = 600
+FEW = 100
 MEMO = 400_000
 CHARS = 1 << 20
 SPREAD = 6.0
@@ -237,7 +240,7 @@ def train(documents: DataFrame, train_docs: int = TRAIN_DOCS, order: int = ORDER
     known = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
     known = known.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (remainder_of() != 0))
     sizes = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # a row a language
-    share = {k: min(0.5, train_docs / n) if n > 1 else 1.0 for k, n in sizes.items()}
+    share = {k: min(0.5, train_docs / n) if n >= FEW else 1.0 for k, n in sizes.items()}
 
     def words(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in in_chunks(batches, 1):
@@ -309,6 +312,7 @@ def _scored(documents: DataFrame, models: Models, *_: str) -> DataFrame:
             else:
                 bits, n = scorer.score(texts)
             best, lowest, odd, entropy = rejected(m, bits, n)
+            odd = odd & (scorer is not None)
             score = 1 / np.exp2(np.maximum((lowest[:, None] - entropy) * np.minimum(n, 200)[:, None], -1000)).sum(1)
             label = [m.languages[k] if c else UNKNOWN for k, c in zip(best.tolist(), n.tolist(), strict=True)]
             columns = [batch.column(0), pa.array(label, pa.string()), pa.array(np.where(n > 0, score, 0.0)), pa.array(lowest), pa.array(odd), pa.array(n)]
@@ -333,6 +337,7 @@ def keep_accepted(documents: DataFrame, models: Models) -> DataFrame:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = sent.value
         if not m.languages:
+            yield from batches
             return
         scorer = Scorer(m)
         for batch in in_chunks(batches, at):
