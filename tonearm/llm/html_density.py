@@ -1,8 +1,12 @@
 """Main text of web pages by composite text density.
 
 The page becomes a tree of block elements; inline elements are transparent but count as tags.
-What is never main text goes first: scripts, styles, forms, navigation, page headers and
-footers, sidebars, and blocks whose class, id or role names an advert, notice or comments.
+What is never main text goes first: scripts, styles, navigation, page headers and footers,
+sidebars and form controls, by their elements. A class, id or role goes by its whole words: a name
+all of whose words say furniture (``related-posts``, not ``related-work``) drops a container that
+leaves a part of its article, or of the page, standing; headings and paragraphs only go as
+adverts; an id of a section, which may be an anchor, needs links as well; a form goes if it holds
+less than half of the text around it.
 
 For each block with C characters and T tags, of which LC and LT in links, and for the body with
 C_b and LC_b, the composite density is
@@ -12,15 +16,17 @@ C_b and LC_b, the composite density is
 with T, LC, LT and C - LC of 0 taken as 1. A block's density sum is the sum over its children. The block
 of largest sum is the main one. The threshold is the least density on the path from it to the
 body; along that path, headings and siblings of at least that density belong to the text too, as
-do siblings whose plain density, characters outside links a tag, is near the least on the path:
-the logarithm alone would leave out short sections. If the main block lies in an article, or else
-in a main element, all of that element belongs to the text, less what is dropped by kind or name,
-and only other articles are taken from outside the outermost of them.
+do siblings whose plain density, characters outside links a tag, is near the least on the path,
+and siblings with paragraphs that are not mostly links: the logarithm alone would leave out short
+sections. If the main block lies in an article, or else in a main element, all of that element
+belongs to the text, less what is dropped by kind or name, and only other articles are taken from
+outside the outermost of them.
 
 Defined results: a null or empty page gives an empty text; a page without tags is one block;
 broken markup is read as browsers do in the common cases (unclosed paragraphs and list items,
 stray end tags, unclosed comments); repeated rows are read each alone; a very long page is read
-whole; an empty table gives no rows; other columns are ignored.
+whole, with work in proportion to its length; an empty table gives no rows; other columns are
+ignored.
 """
 
 from __future__ import annotations
@@ -44,13 +50,13 @@ _TOKEN = re.compile(
 )
 _ATTRIBUTE = re.compile(r"(class|id|role|style|hidden|aria-hidden)(?=[\s=>/]|\Z)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
 _SPACE = re.compile(r"\s+")
-_NAMED = re.compile(r"[a-z]+")
+_WORDS = re.compile(r"[a-z]+")
 #: A name of a layout, such as no-sidebar: it tells what a block has or lacks, not what it is.
-_LAYOUT = re.compile(r"(?<![a-z])(?:no|has|with|without)[-_]\S*")
+_LAYOUT = frozenset(["no", "has", "with", "without"])
 
 # words of HTML and of common page templates
 RAW = frozenset("script style textarea title noscript iframe template xmp noembed noframes".split())
-DROPPED = frozenset("head script style noscript iframe template textarea title nav footer aside form button select option input label fieldset svg canvas object embed applet audio video map dialog menu noembed noframes".split())
+DROPPED = frozenset("head script style noscript iframe template textarea title nav footer aside button select option input label fieldset svg canvas object embed applet audio video map dialog menu noembed noframes".split())
 BLOCKS = frozenset("html body address article aside blockquote center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr li main menu nav ol p pre section summary table caption thead tbody tfoot tr td th ul head".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
@@ -59,10 +65,23 @@ NOT_MAIN = frozenset(
     "ad ads advert adverts advertisement advertising adsense banner sponsor sponsored promo promotion comment comments commentlist disqus reply replies respond cookie cookies consent gdpr notice notices notification alert popup modal overlay newsletter subscribe subscription signup login nav navbar navigation navi menu breadcrumb breadcrumbs pagination pager sidebar aside widget widgets footer masthead topbar toolbar share sharing social related recommended recommendations tags tagcloud skip contentinfo complementary dialog search form".split()
 )
 REMARKS = frozenset("comment comments commentlist disqus reply replies respond".split())
+ADVERTS = frozenset("ad ads advert adverts advertisement advertising adsense sponsored".split())
+#: Words that say where a block of that name is or what it is made of, not what it is about.
+PARTS = frozenset(
+    "a about all area articles article bar block body bottom box btn button buttons center col column container content count custom desktop entry feed fixed form foot footer global google group head header holder "
+    "icon icons id inner item items js l large latest layout left level link links list lists lg m main md media mobile module more news outer page pages panel popular post posts primary r region right row s secondary section "
+    "site slot sm small span sticky story stories text the thread title top type unit user view with wp wrap wrapper xs zone".split()
+)
+#: How sure a name is: needs links too, is enough, tells of reader comments; or the block is a form.
+WEAK, SURE, REMARK, FORM = 1, 2, 3, 4
+#: Elements that a name other than an advert's does not drop: text, not containers of it.
+TEXTUAL = frozenset("h1 h2 h3 h4 h5 h6 p li td th tr dd dt pre blockquote figure figcaption table tbody thead tfoot caption".split())
 #: A block that a name tells off goes only if this share of the text of the page, or of the article
 #: or main element that it lies in, is left then, or, for reader comments, so many characters.
 LEFT_SHARE = 0.1
 LEFT_CHARS = 40
+#: Blocks that show that what holds them is text.
+PROSE = frozenset("p blockquote pre dl h1 h2 h3 h4 h5 h6 table".split())
 #: Part of the least plain density on the body path that siblings of the main block need.
 LOOSE = 0.5
 _CLOSED_BY = {
@@ -89,15 +108,30 @@ class Block:
             self.own = []
 
 
-def _named(attrs: str) -> tuple[int, bool]:
-    """Whether the names of an element tell that it is not main text (2: comments), and whether it
-    is hidden."""
+def _furniture(token: str) -> int:
+    """What one class, id or role says."""
+    words = _WORDS.findall(token)
+    if not words or words[0] in _LAYOUT:
+        return 0
+    telling = [w for w in words if w in NOT_MAIN]
+    if not telling or any(w not in PARTS and w not in NOT_MAIN for w in words):
+        return 0
+    return REMARK if not REMARKS.isdisjoint(telling) else SURE
+
+
+def _named(name: str, attrs: str) -> tuple[int, bool]:
+    """How sure the names of an element tell that it is not main text, and whether it is hidden."""
     named, hidden = 0, False
     for m in _ATTRIBUTE.finditer(attrs):
         key, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
         if key in ("class", "id", "role"):
-            words = _NAMED.findall(_LAYOUT.sub("", value))
-            named = max(named, 2 * (not REMARKS.isdisjoint(words)), not NOT_MAIN.isdisjoint(words))
+            for token in value.split():
+                says = _furniture(token)
+                if says and name not in BLOCKS or name in TEXTUAL:  # inline elements are text too
+                    says = SURE if token in ADVERTS else 0
+                elif says == SURE and key == "id" and name == "section":
+                    says = WEAK
+                named = max(named, says)
         elif key == "style":
             hidden = hidden or re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value) is not None
         else:
@@ -169,7 +203,8 @@ def parse(page: str) -> Block:
             end = re.compile(rf"</{name}(?=[\s/>])[^>]*>", re.I).search(page, at)
             at = end.end() if end else n
             continue
-        named, hidden = _named(attrs) if attrs and name not in KEEPS else (0, False)
+        named, hidden = _named(name, attrs) if attrs and name not in KEEPS else (0, False)
+        named = FORM if name == "form" else named
         drop = name in DROPPED or hidden or name == "header" and not any(e in ("article", "main") for e, _, _ in stack)
         if name in BLOCKS or drop or named:
             above.flush()
@@ -191,70 +226,71 @@ def parse(page: str) -> Block:
     return root
 
 
-def _measure(block: Block) -> None:
-    """Totals of each block, bottom up, without recursion; a block that is dropped counts nothing."""
-    order, todo = [], [block]
-    while todo:
-        b = todo.pop()
-        order.append(b)
-        todo += [c for c in b.children if isinstance(c, Block)]
+def _totals(order: list[Block], own: list[tuple[int, int, int]]) -> None:
+    """Totals of each block from its own; a block that is dropped counts nothing."""
+    for b, (tags, link_chars, link_tags) in zip(order, own, strict=True):
+        b.chars, b.tags, b.link_chars, b.link_tags = sum(len(c) for c in b.children if isinstance(c, str)), tags, link_chars, link_tags
     for b in reversed(order):
-        b.chars = 0
-        for c in b.children:
-            if isinstance(c, str):
-                b.chars += len(c)
-            else:
-                b.chars += c.chars
-                b.tags += c.tags
-                b.link_chars += c.link_chars
-                b.link_tags += c.link_tags
         if b.drop:
             b.chars = b.tags = b.link_chars = b.link_tags = 0
-    whole = block.chars
-    named = [b for b in order if b.named and not b.drop]
-    held = [_above(b) for b in order if b.name in ("article", "main") and b.chars and not b.drop]
-    left = whole
-    net = {id(b): b.chars for b in order}  # without what names have dropped
-    for b in sorted(named, key=lambda b: b.chars):  # a name alone does not drop what holds the page, or its article
-        rest = left - b.chars
-        within = b.parent
-        while within is not None and within.name not in ("article", "main"):
-            within = within.parent
-        if within is not None and within.chars:
-            b.drop = net[id(within)] - net[id(b)] >= (LEFT_CHARS if b.named == 2 else LEFT_SHARE * within.chars)
+        if b.parent is not None:
+            p = b.parent
+            p.chars, p.tags, p.link_chars, p.link_tags = p.chars + b.chars, p.tags + b.tags, p.link_chars + b.link_chars, p.link_tags + b.link_tags
+
+
+def _measure(root: Block) -> None:
+    """Totals of each block, and which blocks their names drop."""
+    order, todo = [], [root]
+    while todo:  # a block before those in it
+        b = todo.pop()
+        order.append(b)
+        todo += [c for c in reversed(b.children) if isinstance(c, Block)]
+    own = [(b.tags, b.link_chars, b.link_tags) for b in order]
+    _totals(order, own)
+    named = [(i, b) for i, b in enumerate(order) if b.named and not b.drop]
+    if not named:
+        return
+    place = {id(b): i for i, b in enumerate(order)}
+    last, holds, region = list(range(len(order))), [False] * len(order), [0] * len(order)
+    for i, b in enumerate(order[1:], 1):
+        up = place[id(b.parent)]
+        region[i] = up if b.parent.name in ("article", "main") and b.parent.chars else region[up]
+    for i in range(len(order) - 1, 0, -1):
+        b, up = order[i], place[id(order[i].parent)]
+        last[up] = max(last[up], last[i])
+        holds[i] = holds[i] or b.name in ("article", "main") and b.chars > 0
+        holds[up] = holds[up] or holds[i]
+    lost = [0] * (len(order) + 1)  # sums over places, as a binary indexed tree
+
+    def upto(i: int) -> int:
+        total = 0
+        while i:
+            total += lost[i]
+            i &= i - 1
+        return total
+
+    def net(i: int) -> int:
+        """Characters of a block without what names have dropped in it."""
+        return order[i].chars - upto(last[i] + 1) + upto(i)
+
+    # small blocks first: what is left of a block without them decides about it
+    for i, b in sorted(named, key=lambda x: x[1].chars):
+        mine, around = net(i), net(region[i])
+        if b.named == FORM:
+            b.drop = 2 * mine <= around and not holds[i]
+        elif holds[i]:
+            b.drop = False
+        elif holds[0] and not region[i]:
+            b.drop = True  # outside the article
         else:
-            b.drop = rest >= (LEFT_CHARS if b.named == 2 else LEFT_SHARE * whole)
-        if held:
-            b.drop = not any(id(b) in x for x in held) and (within is None or b.drop)
+            enough = LEFT_CHARS if b.named == REMARK else LEFT_SHARE * order[region[i]].chars
+            b.drop = around - mine >= enough and (b.named != WEAK or 3 * b.link_chars >= b.chars)
         if b.drop:
-            lost = net[id(b)]
-            for x in _above(b):
-                net[x] -= lost
-            left = rest + sum(x.chars for x in named if x.drop and x is not b and id(b) in _above(x))
-    if any(b.drop for b in named):
-        for b in named:
-            if b.drop and not _in_dropped(b):
-                lost = (b.chars, b.tags, b.link_chars, b.link_tags)
-                while b is not None:
-                    b.chars, b.tags, b.link_chars, b.link_tags = b.chars - lost[0], b.tags - lost[1], b.link_chars - lost[2], b.link_tags - lost[3]
-                    b = b.parent
-
-
-def _above(block: Block) -> set[int]:
-    out = set()
-    while block is not None:
-        out.add(id(block))
-        block = block.parent
-    return out
-
-
-def _in_dropped(block: Block) -> bool:
-    above = block.parent
-    while above is not None:
-        if above.drop:
-            return True
-        above = above.parent
-    return False
+            k = i + 1
+            while k < len(lost):
+                lost[k] += mine
+                k += k & -k
+    _totals(order, own)
 
 
 def densities(root: Block) -> tuple[Block, list[Block]]:
@@ -282,6 +318,19 @@ def _plain(block: Block) -> float:
     return max(0, block.chars - block.link_chars) / max(1, block.tags)
 
 
+def _prose(block: Block) -> bool:
+    """Paragraphs, and not mostly links."""
+    if 3 * block.link_chars >= block.chars:
+        return False
+    todo = [block]
+    while todo:
+        b = todo.pop()
+        if b.name in PROSE and b.chars:
+            return True
+        todo += [c for c in b.children if isinstance(c, Block) and not c.drop]
+    return False
+
+
 def _text(block: Block, out: list[str]) -> None:
     todo: list[Block | str] = [block]
     while todo:
@@ -320,11 +369,11 @@ def main_text(page: str | None) -> tuple[str, float]:
         if x is whole:
             _text(whole, out)
         elif isinstance(x, str):
-            if inside and len(x) / max(1, above.tags) >= min(threshold, loose):
+            if inside and (above is not body or len(x) / max(1, above.tags) >= min(threshold, loose)):
                 out.append(x)
         elif id(x) in on_path:
             todo += [(x, c, inside or x is region) for c in reversed(x.children)]
-        elif not x.drop and x.chars and (inside or x.name == "article") and (x.name in HEADINGS or x.density >= threshold or _plain(x) >= loose):
+        elif not x.drop and x.chars and (inside or x.name == "article") and (x.name in HEADINGS or x.density >= threshold or _plain(x) >= loose or _prose(x)):
             _text(x, out)
     return " ".join(out), best.sum
 
