@@ -3,9 +3,11 @@
 import random
 
 import corpus_pipeline
+import pytest
 from llm_brute import WORD, fingerprint
+from pyspark.sql import functions as F
 
-from tonearm.llm import simhash
+from tonearm.llm import jaccard, simhash
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -49,6 +51,38 @@ def test_stage_drops_near_copies(spark, sf_dir):
     assert corpus_pipeline.near_duplicates(spark, d.limit(0), sf_dir).count() == 0
 
 
+@pytest.mark.parametrize(("members", "dealt", "block"), [(3, 1024, 256), (0, 2, 3)])
+def test_large_components_are_dealt_out(spark, monkeypatch, members, dealt, block):
+    """All candidate components as large ones, in tasks and blocks of a few sets."""
+    monkeypatch.setattr(jaccard, "DEALT", dealt)
+    monkeypatch.setattr(jaccard, "BLOCK_SETS", block)
+    rnd = random.Random(11)
+    texts = families(5)
+    # a chain: each text is like the next one, the ends are not alike
+    words = [f"c{i}" for i in range(120)]
+    for k in range(25):
+        texts.append(" ".join(words))
+        words = words[4:] + [f"d{k}_{j}" for j in range(4)]
+    # a large group around one text
+    base = [f"g{i}" for i in range(200)]
+    for _ in range(60):
+        copy = list(base)
+        for at in rnd.sample(range(200), rnd.randint(0, 5)):
+            copy[at] = f"h{rnd.randint(0, 99999)}"
+        texts.append(" ".join(copy))
+    sets = [five(t) for t in texts]
+    root = list(range(len(texts)))
+    for i, a in enumerate(sets):
+        for j in range(i):
+            if root[i] != root[j] and alike(a, sets[j]):
+                old, new = max(root[i], root[j]), min(root[i], root[j])
+                root = [new if r == old else r for r in root]
+    d = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").withColumns({c: F.lit(1) for c in ("jaccard_row", "whole", "key")}).repartition(3)
+    out = jaccard.keep_one(d, members=members)
+    assert out.columns == d.columns
+    assert sorted(r["doc_id"] for r in out.collect()) == sorted(set(root))
+
+
 def test_null_and_shared_ids_never_merge_groups(spark):
     texts = [" ".join(f"{name}{i}" for i in range(30)) for name in ("a", "b", "c", "d", "e")]
     rows = [(None, texts[0]), (None, texts[1]), (None, texts[1].upper()), (7, texts[2]), (7, texts[3]), (7, texts[3]), (None, texts[4]), (8, texts[4])]

@@ -5,7 +5,7 @@ import zlib
 
 import numpy as np
 import pytest
-from llm_brute import base_quality, base_sha256, base_spans, crc, fingerprint, groups, ids_of
+from llm_brute import WORD, base_quality, base_sha256, base_spans, crc, fingerprint, groups, ids_of
 from pyspark.sql import functions as F
 
 from tonearm.llm import (
@@ -77,6 +77,55 @@ def test_quality_base_counts(docs, rows, empty):
     assert crf_quality.judge(empty, None).count() == 0
 
 
+def test_lines_of_mixed_documents(spark, sf_dir):
+    """Documents spliced from good and bad ones: lines keep their labels, shares lie between."""
+    folder = sf_dir.replace("sf0.001", "sf0.01")
+    d, labels = _common.read(spark, folder, "documents"), _common.read(spark, folder, "labels")
+    model = crf_quality.fit(d, labels)
+    known = d.join(labels.groupBy("doc_id").agg(F.max("quality").alias("quality")), "doc_id").where("length(text) > 200").orderBy("doc_id").collect()
+    lines = {k: [x for r in known if r["quality"] == k for x in r["text"].split("\n")[:6] if len(x) > 30][:600] for k in (0, 1)}
+    rnd, texts, truth = random.Random(2), [], []
+    for _ in range(60):
+        text, marks = [], []
+        for turn in range(4):
+            n = rnd.randint(3, 8)
+            text += rnd.sample(lines[turn % 2], n)
+            marks += [turn % 2] * n
+        texts.append("\n".join(text))
+        truth += marks
+    x = crf_quality.Lines(texts)
+    label = crf_quality.viterbi(x.features, x.doc, len(texts), *model)
+    assert len(label) == len(truth)
+    assert (label == np.array(truth)).mean() > 0.85
+    share = np.bincount(x.doc, label) / np.bincount(x.doc)
+    assert ((share > 0) & (share < 1)).mean() > 0.9
+    # long documents take part in the training: with nothing else there is still a model
+    long = d.withColumn("text", F.concat_ws("\n", F.array_repeat("text", 30)))
+    assert crf_quality.fit(long, labels, 100) is not None
+    clash = d.withColumns({"l_doc_id": F.lit(1), "l_quality": F.lit(0), "d_doc_id": F.lit("x")})
+    assert crf_quality.fit(clash, labels, 100) is not None
+    assert crf_quality.fit(d.limit(0), labels) is None
+
+
+def test_verdicts_against_all_labellings(spark, sf_dir):
+    """The verdict of whole texts from the best of all labellings of their lines."""
+    d, labels = (_common.read(spark, sf_dir, t) for t in ("documents", "labels"))
+    w, pair = crf_quality.fit(d, labels)
+    out = {r["doc_id"]: r for r in crf_quality.judge(d, (w, pair)).collect()}
+    n = 0
+    for r in d.where("length(text) < 3000").orderBy("doc_id").limit(120).collect():
+        x = crf_quality.Lines([r["text"] or ""])
+        if not 0 < len(x.doc) <= 9:
+            continue
+        s = x.features @ w
+        best = max(np.ndindex(*[2] * len(s)), key=lambda c: sum(s[t, c[t]] for t in range(len(s))) + sum(pair[c[t - 1], c[t]] for t in range(1, len(s))))
+        share = (x.chars * np.array(best)).sum() / x.chars.sum()
+        assert out[r["doc_id"]]["content_share"] == pytest.approx(share)
+        assert out[r["doc_id"]]["kept"] == (not base_quality(r["text"])["base_failed"] and share >= crf_quality.CONTENT_SHARE)
+        n += 1
+    assert n > 20
+
+
 def test_crf_training_and_viterbi():
     rng = np.random.default_rng(3)
     y = rng.integers(0, 2, 80)
@@ -191,7 +240,9 @@ def test_language(spark, docs, rows, real, empty):
     assert sum(r[0] in kept for r in real) / len(real) > 0.98
     assert language_id.keep_accepted(docs, models).columns == docs.columns
     none = language_id.train(empty)
-    assert {r["lang_pred"] for r in language_id.identify(docs, none).collect()} == {"und"}
+    assert {(r["lang_pred"], r["rejected"]) for r in language_id.identify(docs, none).collect()} == {("und", False)}
+    assert language_id.keep_accepted(docs, none).count() == len(rows)  # without a model nothing is rejected
+    assert language_id.identify(empty, models).count() == language_id.keep_accepted(empty, models).count() == 0
 
 
 def test_kneser_ney_sums_to_one():
@@ -344,6 +395,31 @@ def test_top_k(spark):
             want += [(q, k + 1, i, -s) for k, (s, i) in enumerate(best)]
     assert got == sorted(want)
     assert pivot_search.top_k(d.limit(0), d.limit(0)).count() == 0
+    assert pivot_search.top_k(d, d.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("size", [1.0, 30.0, 3e5, 3e9, 3e38])
+def test_top_k_of_any_finite_size(spark, size):
+    """Whole-number scores, also beyond doubles and longs; blocks of a few rows."""
+    rng = np.random.default_rng(int(np.log10(size)) + 3)
+    vectors = [(i, (rng.normal(size=6).astype("f4") * (size if i % 7 < 2 else 1)).clip(-3.3e38, 3.3e38).astype("f4").tolist()) for i in range(160)]
+    vectors += [(200, [0.0] * 6), (250, [size] * 6), (251, [size] * 6), (252, [-size] * 6)]
+    d = spark.createDataFrame(vectors, "vec_id long, embedding array<float>")
+    got = sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in pivot_search.top_k(d, d.where("vec_id % 50 = 0"), pivots=3, query_block=2, candidate_block=16).collect())
+    whole = lambda v: [int(np.floor(256 * float(x))) for x in v]
+    fine = [(i, whole(v)) for i, v in vectors]
+    want = []
+    for q, x in fine:
+        if q % 50 == 0:
+            best = sorted((-sum(a * b for a, b in zip(x, y, strict=True)), i) for i, y in fine if i != q)[:5]
+            want += [(q, k + 1, i, max(-(1 << 63), min((1 << 63) - 1, -s))) for k, (s, i) in enumerate(best)]
+    assert got == sorted(want)
+
+
+def test_top_k_share(spark, sf_dir):
+    """Most candidates are never scored, though these vectors have no structure to speak of."""
+    vectors = _common.read(spark, sf_dir.replace("sf0.001", "sf0.01"), "embeddings")
+    assert pivot_search.evaluated_share(vectors, vectors.where("vec_id % 50 = 0")) < 0.3
 
 
 def test_mix(docs, rows, empty):
@@ -368,25 +444,106 @@ def test_mix(docs, rows, empty):
     for s in order:
         assert goal[s] == pytest.approx(want[s])
         assert abs(taken[s] - goal[s]) <= 1
+    # the selection: in each source a prefix in the order of the keys, for what epochs leave
+    keys = {(r["doc_id"], r["size"]): r["key"] for r in source_mix.sized(docs).collect()}
+    for s in order:
+        mine = sorted((r for r in out if source[r["doc_id"]] == s and r["size"]), key=lambda r: (keys[r["doc_id"], r["size"]], r["doc_id"]))
+        epochs = int(round(goal[s])) // max(1, sizes[s])
+        part = [r["taken"] - epochs * r["size"] for r in mine]
+        whole = [p == r["size"] for p, r in zip(part, mine, strict=True)]
+        n = whole.index(False) if False in whole else len(whole)
+        assert not any(part[n + 1 :])
+        assert sum(part) == int(round(goal[s])) - epochs * sizes[s]
     again = sorted((r["doc_id"], r["taken"]) for r in source_mix.mix(docs.repartition(7)).collect())
     assert again == sorted((r["doc_id"], r["taken"]) for r in out)
     assert source_mix.mix(empty).count() == 0
 
 
+CHANGES = "kind string, source string, lang string, tokenizer_version string, old_tokens long, new_tokens long"
+
+
+def batches(spark):
+    a = spark.createDataFrame([("insert", "s", "en", "1", None, 10), ("insert", "s", "en", "1", None, 5), ("insert", None, None, "1", None, None)], CHANGES)
+    b = spark.createDataFrame([("delete", "s", "en", "1", 5, None), ("revise", "s", "en", "1", 10, 12), ("delete", None, None, "1", 0, None)], CHANGES)
+    return a, b
+
+
 def test_rollup_is_idempotent(spark):
     r = token_rollups.Rollup(spark, _common.new_path(spark, "test-rollup"))
-    schema = "kind string, source string, lang string, tokenizer_version string, old_tokens long, new_tokens long"
-    a = spark.createDataFrame([("insert", "s", "en", "1", None, 10), ("insert", "s", "en", "1", None, 5), ("insert", None, None, "1", None, None)], schema)
-    b = spark.createDataFrame([("delete", "s", "en", "1", 5, None), ("revise", "s", "en", "1", 10, 12), ("delete", None, None, "1", 0, None)], schema)
+    a, b = batches(spark)
+    assert r.totals().count() == 0
     assert r.apply("a", a)
     assert not r.apply("a", a)
-    assert r.apply("b", b)
+    assert r.apply("b", b.withColumn("extra", F.lit(1)))
     assert r.apply("none", a.limit(0))
-    assert [tuple(x) for x in r.totals(["a", "b", "none", "missing"]).collect()] == [("s", "en", "1", 1, 12)]
-    assert r.compact(["a", "b"], "c")
-    assert [tuple(x) for x in r.totals(["c"]).collect()] == [("s", "en", "1", 1, 12)]
+    want = [("s", "en", "1", 1, 12)]
+    assert [tuple(x) for x in r.totals().collect()] == want
+    # folded, the batches count once and stay applied
+    assert r.compact()
+    assert not r.compact()
+    assert [tuple(x) for x in r.totals().collect()] == want
+    assert not r.apply("b", b)
+    r.vacuum()
+    assert [tuple(x) for x in r.totals().collect()] == want
+    assert r.batches() == ["a", "b", "none"]
     with pytest.raises(Exception, match="unknown kind"):
-        r.apply("bad", spark.createDataFrame([("what", "s", "en", "1", 1, 1)], schema))
+        r.apply("bad", spark.createDataFrame([("what", "s", "en", "1", 1, 1)], CHANGES))
+    assert not r.committed("bad")
+    # a row that stands for many
+    assert r.apply("many", spark.createDataFrame([("insert", "s", "en", "1", None, 2, 1000)], CHANGES + ", n_rows long"))
+    assert [tuple(x) for x in r.totals().collect()] == [("s", "en", "1", 1001, 2012)]
+
+
+def test_rollup_with_other_writers(spark):
+    path = _common.new_path(spark, "test-rollup")
+    a, b = batches(spark)
+    one, two = token_rollups.Rollup(spark, path), token_rollups.Rollup(spark, path, fold=1)
+    entry = one._entry
+    # the other writer commits between this one's reading and writing
+    seen = [entry(), None]
+
+    def late():
+        if seen[0] is not None:
+            first, seen[0] = seen[0], None
+            assert two.apply("a", a)
+            return first
+        return entry()
+
+    one._entry = late
+    assert not one.apply("a", a)  # the same batch: it counts once
+    one._entry = entry
+    assert one.apply("b", b)
+    assert [tuple(x) for x in two.totals().collect()] == [("s", "en", "1", 1, 12)]
+    # an entry that its writer did not finish does not count, nor does its number come again
+    place = one._place(f"{path}/manifest/{99:012d}")
+    one._fs.create(place, False).close()
+    assert [tuple(x) for x in one.totals().collect()] == [("s", "en", "1", 1, 12)]
+    assert two.apply("c", a)
+    assert one.batches() == ["a", "b", "c"]
+    assert [x["n_tokens"] for x in one.totals().where("source = 's'").collect()] == [27]
+
+
+def test_rollup_of_documents(spark, docs, rows, tokenizer, empty):
+    """Against counts of the rows that remain, without rollups."""
+    versions = {v: _common.tokenizer_path(f) for v, f in token_rollups.VERSIONS.items()}
+    import base64
+
+    import public_tokenizers
+    import tiktoken
+
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(versions["byte-bpe-50k"], "rb"))}
+    ranked = tiktoken.Encoding("test", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    got = {tuple(r)[:3]: tuple(r)[3:] for r in token_rollups.maintained(docs, _common.new_path(spark, "test-rollup")).totals().collect()}
+    seen, want = set(), {}
+    for _, text, lang, source, _ in sorted(rows, key=lambda r: (r[0], r[3] is None, r[3] or "", r[2] is None, r[2] or "")):
+        if text is not None and text in seen:
+            continue
+        seen.add(text)
+        for version, n in (("word-bpe-49k", len(ids_of(tokenizer, text))), ("byte-bpe-50k", len(ranked.encode_ordinary(text or "")))):
+            docs_, tokens = want.get((source, lang, version), (0, 0))
+            want[source, lang, version] = (docs_ + 1, tokens + n)
+    assert got == want
+    assert token_rollups.maintained(empty, _common.new_path(spark, "test-rollup")).totals().count() == 0
 
 
 def redacted(text):
@@ -398,6 +555,21 @@ def redacted(text):
     return "".join(out) + text[at:]
 
 
+def alike_groups(texts):
+    """id -> least id of its group of five-word shingle sets at 0.8, all pairs compared."""
+    sets = {}
+    for i, t in texts.items():
+        words = WORD.findall("".join(c.lower() if "A" <= c <= "Z" else c for c in t or ""))
+        sets[i] = {tuple(words[k : k + 5]) for k in range(max(1, len(words) - 4))} if words else set()
+    root = {i: i for i in sets}
+    for a in sorted(sets):
+        for b in sorted(sets):
+            if b < a and root[a] != root[b] and (sets[a] == sets[b] or 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])):
+                old, new = max(root[a], root[b]), min(root[a], root[b])
+                root = {i: new if r == old else r for i, r in root.items()}
+    return root
+
+
 def test_pipeline(spark, sf_dir, docs, rows):
     """Each stage against a plain version, on its own input."""
     import corpus_pipeline as p
@@ -417,7 +589,7 @@ def test_pipeline(spark, sf_dir, docs, rows):
             assert all(any(c.isalpha() for c in r["text"]) for r in after)
             assert len({r["doc_id"] for r in after} & {r[0] for r in rows if r[0] < 10_000}) == len({r[0] for r in rows if r[0] < 10_000})
         elif name == "simhash_near_dedup":
-            want = groups({i: fingerprint(t) for i, t in texts.items()})
+            want = alike_groups(texts)
             assert sorted(r["doc_id"] for r in after) == sorted(set(want.values()))
             assert all(r["text"] == texts[r["doc_id"]] for r in after)
         elif name == "pii":
