@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tonearm.llm import jaccard, language_id, packing, pii, source_mix
-from tonearm.llm._common import new_path, read, tokenizer_path
+from tonearm.llm._common import cleared, free_name, new_path, read, remove_path, tokenizer_path
 
 #: The stages learn and sample, which SQL cannot express; tests hold them against brute force.
 ORACLE_SQL = None
@@ -22,15 +22,21 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one row of each group of texts alike in 0.8 of their five-word shingles."""
+    """Keep one row of each group of texts alike in 0.8 of their five-word shingles.
+
+    SimHash links are candidates, beside those of shingle minima; see ``tonearm.llm.jaccard``.
+    """
     return jaccard.keep_one(docs)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Replace personal data by marks of its kind; n_chars follows the text."""
-    text = pii.redacted(F.col("text"), F.col("pii_spans"))
-    found = pii.add_spans(docs).withColumn("text", F.when(F.col("text").isNotNull(), text))
-    return found.withColumn("n_chars", F.coalesce(F.length("text").cast("long"), F.col("n_chars"))).select(*docs.columns)
+    """Replace personal data by marks of its kind; n_chars, if there is one, follows the text."""
+    name = free_name("pii_spans", docs.columns)
+    text = pii.redacted(F.col("text"), F.col(name))
+    found = pii.add_spans(docs, name=name).withColumn("text", F.when(F.col("text").isNotNull(), text))
+    if "n_chars" in docs.columns:
+        found = found.withColumn("n_chars", F.coalesce(F.length("text").cast("long"), F.col("n_chars")))
+    return found.select(*docs.columns)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -53,9 +59,14 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read(spark, sf_dir, "documents")
+    """The last stage's rows. What a stage has written for itself goes when its result is written,
+    and its input when the next stage has read it."""
+    docs, last = read(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
         path = new_path(spark, f"pipeline-{name}")
-        stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+        with cleared(spark):
+            stage(spark, docs, sf_dir).write.parquet(path)
+        if last:
+            remove_path(spark, last)
+        docs, last = spark.read.parquet(path), path
     return STAGES[-1][1](spark, docs, sf_dir)
