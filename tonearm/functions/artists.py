@@ -55,9 +55,13 @@ def split_artist(x: Column) -> Column:
 
 
 def _ampersand(part: Column, known: Column) -> Column:
-    """The parts around `` & `` if one of them is known and two are left; else NULL."""
-    parts = F.filter(_parts(part, " & "), lambda p: F.octet_length(p) > 1)
-    return F.when(F.contains(part, F.lit(" & ")) & (F.size(parts) >= 2) & F.exists(parts, lambda p: F.array_contains(known, match_form(p))), parts)
+    """The parts of more than one byte around `` & ``, if there are two and any part is known; else NULL."""
+
+    def form(parts: Column) -> Column:
+        valid = F.filter(parts, lambda p: F.octet_length(p) > 1)
+        return F.when((F.size(valid) >= 2) & F.exists(parts, lambda p: F.array_contains(known, match_form(p))), valid)
+
+    return F.when(F.contains(part, F.lit(" & ")), let(_parts(part, " & "), form))
 
 
 def split_artist_contextual(x: Column, known: Iterable[str] | Column) -> Column:
@@ -75,10 +79,10 @@ def split_credits(credits: DataFrame, id_column: str, name_column: str, known: D
     name = trim_white(F.col(name_column))
     base = credits.select(F.col(id_column).alias("id"), name.alias("name"), split_artist(F.col(name_column)).alias("free"))
     parts = base.select("id", F.posexplode(F.coalesce("free", F.array("name"))).alias("at", "part"), F.col("free").isNull().alias("whole"))
-    inner = parts.select("id", "at", "part", "whole", F.posexplode(F.filter(_parts(F.col("part"), " & "), lambda p: F.octet_length(p) > 1)).alias("k", "piece")).where(F.contains("part", F.lit(" & ")))
+    inner = parts.where(F.contains("part", F.lit(" & "))).select("id", "at", "part", "whole", F.posexplode(_parts(F.col("part"), " & ")).alias("k", "piece"))
     keyed = inner.withColumn("key", match_form(F.col("piece")))
     hits = keyed.join(known.select(F.col(known_column).alias("key")).distinct(), "key", "left_semi").select("id", "at").distinct()
-    pieces = inner.groupBy("id", "at").agg(F.array_sort(F.collect_list(F.struct("k", "piece"))).alias("ps"))
+    pieces = inner.where(F.octet_length("piece") > 1).groupBy("id", "at").agg(F.array_sort(F.collect_list(F.struct("k", "piece"))).alias("ps"))
     pieces = pieces.where(F.size("ps") >= 2).join(hits, ["id", "at"], "left_semi").select("id", "at", F.transform("ps", lambda p: p["piece"]).alias("pieces"))
     joined = parts.join(pieces, ["id", "at"], "left")
     one = joined.groupBy("id").agg(

@@ -1,13 +1,17 @@
 """String similarity.
 
 What Spark has stays in Catalyst; the longest common subsequence and Jaro-Winkler run in Arrow
-UDFs, on whole batches, with the bits of one Python integer as the row of the dynamic program.
+UDFs over whole batches: a step takes one character of every left text against all of its right
+text. Texts too long for that go one by one, with the bits of a Python integer as the row of the
+dynamic program.
 """
 
 from __future__ import annotations
 
 import re
+from collections.abc import Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -22,6 +26,9 @@ SPLIT = "[\\p{IsWhite_Space}]+"
 BOOST_OVER = 0.7
 PREFIX = 4
 SCALE = 0.1
+#: Longest texts that are scored as arrays: the bits of a word, and the cells of a batch.
+WORD_BITS = 64
+WIDE = 128
 
 
 def lcs_length(a: str, b: str) -> int:
@@ -102,16 +109,130 @@ def winkler(a: str, b: str) -> float:
     return score
 
 
-def _pairwise(score):
+# ---- whole batches
+
+
+def _codes(texts: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Code points, padded with zeros to the longest text, and lengths."""
+    length = np.array([len(t) for t in texts], "i8")
+    out = np.zeros((len(texts), int(length.max(initial=0))), "u4")
+    out[np.arange(out.shape[1]) < length[:, None]] = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), "<u4")
+    return out, length
+
+
+def lcs_lengths(a: Sequence[str], b: Sequence[str]) -> np.ndarray:
+    """``lcs_length`` of each pair; pairs whose shorter text is over a word go one by one."""
+    out = np.zeros(len(a), "i8")
+    short, long = zip(*((x, y) if len(x) <= len(y) else (y, x) for x, y in zip(a, b, strict=True)), strict=True) if len(a) else ((), ())
+    fits = np.array([len(x) <= WORD_BITS and len(y) <= 8 * WORD_BITS for x, y in zip(short, long, strict=True)], bool)
+    for i in np.flatnonzero(~fits).tolist():
+        out[i] = lcs_length(short[i], long[i])
+    some = np.flatnonzero(fits)
+    if not len(some):
+        return out
+    x, n = _codes([short[i] for i in some])
+    y, m = _codes([long[i] for i in some])
+    x = np.concatenate([x, np.zeros((len(x), -x.shape[1] % 8), "u4")], 1)
+    inside = np.arange(x.shape[1]) < n[:, None]
+    full = np.full(len(x), np.iinfo("u8").max, "u8")
+    row, bits = full.copy(), np.zeros((len(x), 8), "u1")
+    for i in range(y.shape[1]):
+        same = (x == y[:, i : i + 1]) & inside & (i < m)[:, None]
+        bits[:, : x.shape[1] // 8] = np.packbits(same, axis=1, bitorder="little")
+        u = row & bits.view("<u8")[:, 0]
+        row = (row + u) | (row - u)
+    count = np.unpackbits((~row).view("u1").reshape(-1, 8), axis=1, bitorder="little")[:, : x.shape[1]]
+    out[some] = (count.astype(bool) & inside).sum(1)
+    return out
+
+
+def ratios(a: Sequence[str], b: Sequence[str]) -> np.ndarray:
+    total = np.array([len(x) + len(y) for x, y in zip(a, b, strict=True)], "f8")
+    return np.where(total > 0, 2.0 * lcs_lengths(a, b) / np.maximum(total, 1), 1.0)
+
+
+def winklers(a: Sequence[str], b: Sequence[str]) -> np.ndarray:
+    """``winkler`` of each pair."""
+    out = np.zeros(len(a))
+    fits = np.array([0 < len(x) <= WIDE and 0 < len(y) <= WIDE for x, y in zip(a, b, strict=True)], bool)
+    for i in np.flatnonzero(~fits).tolist():
+        out[i] = winkler(a[i], b[i])
+    some = np.flatnonzero(fits)
+    if not len(some):
+        return out
+    x, n = _codes([a[i] for i in some])
+    y, m = _codes([b[i] for i in some])
+    place = np.arange(y.shape[1])
+    reach = np.maximum(0, np.maximum(n, m) // 2 - 1)[:, None]
+    free = place < m[:, None]
+    ours, every = np.zeros(x.shape, bool), np.arange(len(x))
+    for i in range(x.shape[1]):
+        may = (y == x[:, i : i + 1]) & free & (np.abs(place - i) <= reach) & (i < n)[:, None]
+        at = may.argmax(1)
+        ours[:, i] = may[every, at]
+        free[every, at] &= ~ours[:, i]
+    theirs = ~free & (place < m[:, None])
+    count = ours.sum(1)
+    width = min(x.shape[1], y.shape[1])
+    # the matched characters of each side, in order
+    mine, other = (np.take_along_axis(z, np.argsort(~t, axis=1, kind="stable"), 1)[:, :width] for z, t in ((x, ours), (y, theirs)))
+    swaps = ((mine != other) & (np.arange(width) < count[:, None])).sum(1) // 2
+    hit = np.maximum(count, 1)
+    score = np.where(count > 0, (count / n + count / m + (count - swaps) / hit) / 3.0, 0.0)
+    head = min(PREFIX, width)
+    same = (x[:, :head] == y[:, :head]) & (np.arange(head) < np.minimum(n, m)[:, None])
+    prefix = np.cumprod(same, axis=1).sum(1)
+    out[some] = np.where(score > BOOST_OVER, score + SCALE * prefix * (1.0 - score), score)
+    return out
+
+
+def _batched(score):
+    """An Arrow UDF of a function of two lists of texts; NULL if either text is."""
     ship()
 
     @F.pandas_udf("double")
     def run(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([None if x is None or y is None else score(x, y) for x, y in zip(a, b, strict=True)], dtype="float64")
+        out = np.full(len(a), np.nan)
+        both = np.flatnonzero((a.notna() & b.notna()).to_numpy())
+        if len(both):
+            out[both] = score(a.iloc[both].tolist(), b.iloc[both].tolist())
+        return pd.Series(out, dtype="float64").astype(object).where(a.notna().to_numpy() & b.notna().to_numpy(), None) if len(both) < len(a) else pd.Series(out)
 
     return run
 
 
+def _token_lists(texts: Sequence[str]) -> list[list[str]]:
+    seen = {t: sorted(tokens(t)) for t in set(texts)}
+    return [seen[t] for t in texts]
+
+
+def sort_ratios(a: Sequence[str], b: Sequence[str]) -> np.ndarray:
+    return ratios([" ".join(t) for t in _token_lists(a)], [" ".join(t) for t in _token_lists(b)])
+
+
+def set_ratios(a: Sequence[str], b: Sequence[str]) -> np.ndarray:
+    """``set_ratio`` of each pair: the shared tokens begin both sides, so only the rest is compared."""
+    left, right, out = [], [], np.zeros(len(a))
+    shared, sizes = np.zeros(len(a), "i8"), np.ones((len(a), 2))
+    for i, (p, q) in enumerate(zip(_token_lists(a), _token_lists(b), strict=True)):
+        u, v = set(p), set(q)
+        if not u or not v:
+            out[i] = float(not u and not v)
+            left.append("")
+            right.append("")
+            continue
+        both = " ".join(sorted(u & v))
+        x, y = (" ".join(t for t in (both, " ".join(sorted(s))) if t) for s in (u - v, v - u))
+        shared[i], sizes[i] = len(both), (len(x), len(y))
+        left.append(x[len(both) :])
+        right.append(y[len(both) :])
+        out[i] = -1
+    total = sizes.sum(1)
+    whole = 2.0 * (shared + lcs_lengths(left, right)) / np.maximum(total, 1)
+    alone = (2.0 * shared[:, None] / np.maximum(shared[:, None] + sizes, 1)).max(1)
+    return np.where(out < 0, np.maximum(whole, alone), out)
+
+
 def levenshtein_ratio(a: Column, b: Column) -> Column:
     """Edits over the longer length; the length is in bytes, the edits are in characters."""
     longer = F.greatest(F.octet_length(a), F.octet_length(b))
@@ -119,37 +240,30 @@ def levenshtein_ratio(a: Column, b: Column) -> Column:
 
 
 def fuzz_ratio(a: Column, b: Column) -> Column:
-    return _pairwise(ratio)(a, b)
+    return _batched(ratios)(a, b)
 
 
 def token_sort_ratio(a: Column, b: Column) -> Column:
-    return _pairwise(lambda x, y: sort_ratio(tokens(x), tokens(y)))(a, b)
+    return _batched(sort_ratios)(a, b)
 
 
 def token_set_ratio(a: Column, b: Column) -> Column:
-    return _pairwise(lambda x, y: set_ratio(set(tokens(x)), set(tokens(y))))(a, b)
+    return _batched(set_ratios)(a, b)
 
 
 def jaro_winkler(a: Column, b: Column) -> Column:
-    return _pairwise(winkler)(a, b)
+    return _batched(winklers)(a, b)
 
 
 def token_ratios(a: Column, b: Column) -> Column:
-    """``struct<token_set, token_sort>`` in one pass to Python."""
+    """``struct<token_set, token_sort>`` in one pass to Python; 0 beside a NULL."""
     ship()
 
     @F.pandas_udf("token_set double, token_sort double")
     def run(a: pd.Series, b: pd.Series) -> pd.DataFrame:
-        seen: dict[str, list[str]] = {}
-        out = []
-        for x, y in zip(a, b, strict=True):
-            if x is None or y is None:
-                out.append((None, None))
-                continue
-            p = seen.get(x) or seen.setdefault(x, tokens(x))
-            q = seen.get(y) or seen.setdefault(y, tokens(y))
-            out.append((set_ratio(set(p), set(q)), sort_ratio(p, q)))
-        return pd.DataFrame(out, columns=["token_set", "token_sort"])
+        x, y = a.fillna("").tolist(), b.fillna("").tolist()
+        known = (a.notna() & b.notna()).to_numpy()
+        return pd.DataFrame({"token_set": np.where(known, set_ratios(x, y), 0.0), "token_sort": np.where(known, sort_ratios(x, y), 0.0)})
 
     return run(a, b)
 

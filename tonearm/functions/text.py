@@ -11,7 +11,7 @@ from __future__ import annotations
 import unicodedata
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: The characters of code page 1252 at bytes 80 to 9F, and those bytes.
@@ -126,6 +126,22 @@ def match_form(x: Column) -> Column:
     return F.when(is_ascii(x), collapse_space(F.lower(x))).when(x.rlike(_LATIN1), collapse_space(latin)).when(x.isNotNull(), full)
 
 
+#: The ranges of characters that rules are made for, those that lose their marks.
+_RULE_RANGES = ((0xA0, 0x24F), (0x1E00, 0x1EFF), (0x2C60, 0x2C7F), (0xA720, 0xA7FF), (0xAB30, 0xAB6F), (0x370, 0x3FF), (0x1F00, 0x1FFF))
+
+
+def unaccent_rules(spark: SparkSession) -> DataFrame:
+    """``source, target``: lower-case characters that the match form changes, and what to.
+
+    Rules for a database's unaccent dictionary: no empty target and none with white space.
+    """
+    points = F.explode(F.array(*[F.sequence(F.lit(a), F.lit(b)) for a, b in _RULE_RANGES])).alias("points")
+    each = spark.range(1).select(points).select(F.explode("points").alias("point"))
+    rows = each.select(F.decode(F.unhex(F.lpad(F.hex("point"), 8, "0")), "UTF-32").alias("source")).where(F.lower("source") == F.col("source"))
+    rows = rows.withColumn("target", match_form(F.col("source")))
+    return rows.where((F.col("target") != F.col("source")) & (F.col("target") != "") & ~F.col("target").rlike("\\p{IsWhite_Space}")).select("source", "target")
+
+
 # ---- ASCII form
 
 #: Cyrillic and Greek letters, and Latin letters that do not decompose.
@@ -136,25 +152,100 @@ _ONE = (
 _MANY = {
     "ё": "yo", "ж": "zh", "х": "kh", "ц": "ts", "ч": "ch", "ш": "sh", "щ": "shch", "ю": "iu", "я": "ia", "ъ": "", "ь": "'", "є": "ie", "ї": "yi", "ў": "u", "ђ": "dj", "ј": "j", "љ": "lj", "њ": "nj", "ћ": "c", "џ": "dz",
     "θ": "th", "ξ": "x", "χ": "kh", "ψ": "ps", "ß": "ss", "þ": "th", "ĳ": "ij", "ŉ": "'n",
-    "‘": "'", "’": "'", "‚": ",", "“": '"', "”": '"', "„": ",,", "–": "-", "—": "--", "‐": "-", "…": "...", "•": "*", "×": "x", "÷": "/", "¡": "!", "¿": "?", "«": "<<", "»": ">>", "€": "eur", "£": "ps", "¥": "y=", " ": " ", "繭": "mao",
+    "‘": "'", "’": "'", "‚": ",", "“": '"', "”": '"', "„": ",,", "–": "-", "—": "--", "‐": "-", "…": "...", "•": "*", "×": "x", "÷": "/", "¡": "!", "¿": "?", "«": "<<", "»": ">>", "€": "eur", "£": "ps", "¥": "y=", " ": " ",
 }
 
 
-def transliterate(x: Column) -> Column:
-    """Letters of Latin, Greek and Cyrillic in ASCII; the rest is left for the caller to drop.
+def _in_order(first: int, names: str) -> dict[str, str]:
+    """Consecutive code points and their letters; ``-`` stands for none."""
+    return {chr(first + i): "" if n == "-" else n for i, n in enumerate(names.split())}
+
+
+def _kana() -> dict[str, str]:
+    """Syllables by their rows and vowels, for hiragana; katakana is 96 code points on."""
+    out, at = {}, 0x3041
+
+    def put(*names: str) -> None:
+        nonlocal at
+        for n in names:
+            out[chr(at)], out[chr(at + 0x60)] = n, n
+            at += 1
+
+    for v in "aiueo":
+        put(v, v)  # small and full size
+    for plain, voiced in (("k", "g"), ("s", "z"), ("t", "d")):
+        for v in "aiueo":
+            here = {"si": "shi", "ti": "chi", "tu": "tsu"}.get(plain + v, plain + v)
+            put(*([here] if here == "tsu" else []), here, voiced + v)
+    put(*(f"n{v}" for v in "aiueo"))
+    for v in "aiueo":
+        put(f"h{v}", f"b{v}", f"p{v}")
+    put(*(f"m{v}" for v in "aiueo"))
+    for v in "auo":
+        put(f"y{v}", f"y{v}")
+    put(*(f"r{v}" for v in "aiueo"))
+    put("wa", "wa", "wi", "we", "wo", "n", "vu")
+    return out
+
+
+#: Letters of other scripts, by the range of their block; Korean syllables decompose to three runs.
+_SCRIPTS = {
+    "\\x{3041}-\\x{30F4}": _kana(),
+    "\\x{1100}-\\x{11C2}": _in_order(0x1100, "g kk n d tt r m b pp s ss - j jj c k t p h") | _in_order(0x1161, "a ae ya yae eo e yeo ye o wa wae oe yo u weo we wi yu eu yi i") | _in_order(0x11A8, "g gg gs n nj nh d l lg lm lb ls lt lp lh m b bs s ss ng j c k t p h"),
+    "\\x{05D0}-\\x{05EA}": _in_order(0x05D0, "a b g d h v z kh t y k k l m m n n s ` p p ts ts q r sh t"),
+    "\\x{0621}-\\x{064A}": _in_order(0x0621, "' a a u' i y' a b h t th j h kh d dh r z s sh s d t z ` gh") | _in_order(0x0641, "f q k l m n h w a y"),
+    "\\x{0561}-\\x{0587}": _in_order(0x0561, "a b g d e z e e t` zh i l kh ts k h dz gh ch m y n sh o ch` p j rh s v t r ts` w p` k` o f ew"),
+}
+
+
+def _replaced(x: Column, table: dict[str, str]) -> Column:
+    """Each character of the table by its letters: single ones in one pass, others one by one."""
+    one = {c: to for c, to in table.items() if len(to) == 1}
+    none = [c for c, to in table.items() if not to]
+    x = F.translate(x, "".join([*one, *none]), "".join(one.values()))
+    for c, to in table.items():
+        if len(to) > 1:
+            x = F.replace(x, F.lit(c), F.lit(to))
+    return x
+
+
+def _plain_letters(x: Column) -> Column:
+    """Latin, Greek and Cyrillic letters in ASCII. Marks that the match form keeps go with their letters."""
+    x = _replaced(F.translate(x, *_ONE), _MANY)
+    return F.translate(F.regexp_replace(_reflected("decompose", x, False), "\\p{M}+", ""), *_ONE)
+
+
+#: Characters of the other scripts, and the syllables that decompose to some of them.
+OTHER = "".join(_SCRIPTS) + "\\x{AC00}-\\x{D7A3}"
+#: Each of them with its letters.
+LETTERS = {c: to for table in _SCRIPTS.values() for c, to in table.items()}
 
-    Not for NULL. Marks that the match form keeps (on Cyrillic letters, say) go with their letters.
+
+def _other_letters(x: Column) -> Column:
+    table = F.create_map(*[F.lit(v) for pair in LETTERS.items() for v in pair])
+    return F.array_join(F.transform(F.split(x, ""), lambda c: F.coalesce(F.try_element_at(table, c), c)), "")
+
+
+def transliterate(x: Column) -> Column:
+    """Letters of Latin, Greek, Cyrillic, kana, Hangul, Hebrew, Arabic and Armenian in ASCII; the rest
+    is left for the caller to drop. Not for NULL.
     """
-    x = F.translate(x, *_ONE)
-    for c, to in _MANY.items():
-        x = F.replace(x, F.lit(c), F.lit(to))
-    return F.translate(F.regexp_replace(_reflected("decompose", x, False), "\\p{M}+", ""), *_ONE)
+    # twice: kana before its voicing marks go, Hangul when it is decomposed
+    every = _other_letters(_plain_letters(_other_letters(x)))
+    return F.when(x.rlike(f"[{OTHER}]"), every).otherwise(_plain_letters(x))
+
+
+def before_letters(plain: Column) -> Column:
+    return F.replace(F.regexp_replace(plain, "\\p{So}", ""), F.lit("й"), F.lit("i"))
+
+
+def after_letters(wide: Column) -> Column:
+    return collapse_space(F.regexp_replace(F.lower(wide), "[^\\x{00}-\\x{7F}]", ""))
 
 
 def ascii_of_match(plain: Column) -> Column:
     """The ASCII form of a text in match form."""
-    wide = F.lower(transliterate(F.replace(F.regexp_replace(plain, "\\p{So}", ""), F.lit("й"), F.lit("i"))))
-    return F.when(is_ascii(plain), plain).when(plain.isNotNull(), collapse_space(F.regexp_replace(wide, "[^\\x{00}-\\x{7F}]", "")))
+    return F.when(is_ascii(plain), plain).when(plain.isNotNull(), after_letters(transliterate(before_letters(plain))))
 
 
 def ascii_form(x: Column) -> Column:

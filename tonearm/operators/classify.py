@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.similarity import SPLIT, jaro_winkler, token_ratios
-from ..functions.text import match_form
+from ..functions.text import match_form, or_empty
 
 SEPARATOR = "|||"
 
@@ -114,9 +114,20 @@ def classify(releases: DataFrame, index: LibraryIndex, config: ClassifyConfig =
 
 
 def batch_classify(releases: DataFrame, library: DataFrame | LibraryIndex, artist: str = "artist", title: str = "title", config: ClassifyConfig = ClassifyConfig()) -> DataFrame:
-    """All columns of ``releases`` and ``classification``; any casing and spelling of the input."""
+    """All columns of ``releases`` and ``classification``; any casing and spelling of the input.
+
+    A NULL artist or title counts as the empty text. A column ``classification`` is replaced.
+    """
     index = library if isinstance(library, LibraryIndex) else LibraryIndex.from_pairs(library)
-    keyed = releases.withColumns({"_a": match_form(F.col(artist)), "_t": match_form(F.col(title))})
-    found = classify(keyed.select(F.col("_a").alias("artist"), F.col("_t").alias("title")), index, config)
-    found = found.select(F.col("artist").alias("_a"), F.col("title").alias("_t"), "classification")
-    return keyed.join(found, ["_a", "_t"], "left").drop("_a", "_t")
+    rows = releases.drop("classification") if "classification" not in (artist, title) else releases
+    a, t = (_free(n, rows.columns) for n in ("match_artist", "match_title"))
+    keyed = rows.withColumns({a: or_empty(match_form, F.col(artist)), t: or_empty(match_form, F.col(title))})
+    found = classify(keyed.select(F.col(a).alias("artist"), F.col(t).alias("title")), index, config)
+    found = found.select(F.col("artist").alias(a), F.col("title").alias(t), "classification")
+    return keyed.join(found, [a, t], "left").select(*rows.columns, "classification")
+
+
+def _free(name: str, taken: list[str]) -> str:
+    while name in taken:
+        name += "_"
+    return name

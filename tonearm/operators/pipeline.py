@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from .dedup import against_seen, first_by_key
@@ -38,15 +38,23 @@ def deduplicated(rows: DataFrame, key: str, order: str, seen: DataFrame | None =
 
 def stats(scanned: DataFrame, processed: DataFrame, written: DataFrame) -> DataFrame:
     """One row of counters."""
-    n = lambda df, name: df.agg(F.count("*").alias(name))
-    one = n(scanned, "scanned").crossJoin(n(processed, "processed")).crossJoin(n(written, "written"))  # rows of one
-    return one.select("scanned", "processed", "written", F.lit(0).cast("long").alias("skipped"), (F.col("processed") - F.col("written")).alias("duplicates"))
+    names = ("scanned", "processed", "written")
+    zero = lambda at: [(F.count("*") if i == at else F.lit(0).cast("long")).alias(n) for i, n in enumerate(names)]
+    rows = scanned.agg(*zero(0)).unionByName(processed.agg(*zero(1))).unionByName(written.agg(*zero(2)))
+    one = rows.agg(*[F.sum(n).alias(n) for n in names])
+    return one.select(*names, F.lit(0).cast("long").alias("skipped"), (F.col("processed") - F.col("written")).alias("duplicates"))
 
 
 def run(rows: DataFrame, out: Callable[[DataFrame], Column], write: Callable[[DataFrame], None], order: str, key: str | None = None, seen: DataFrame | None = None, name: str = "item") -> PipelineStats:
-    """Transform, deduplicate and write; the writer gets rows sorted by ``order``."""
+    """Transform, deduplicate and write; the writer gets rows sorted by ``order``, once.
+
+    What was written is counted as it is written. What was scanned and processed takes a pass over
+    the input alone, as deduplication reads it more than once.
+    """
     done = transform(rows, out, name)
     kept = deduplicated(done, key, order, seen) if key else done
-    write(kept.orderBy(order))
-    c = stats(rows, done, kept).first()
-    return PipelineStats(*[int(c[f]) for f in ("scanned", "processed", "written", "skipped", "duplicates")])
+    seen_there = Observation()
+    write(kept.orderBy(order).observe(seen_there, F.count(F.lit(1)).alias("written")))
+    written = int(seen_there.get["written"])
+    before = rows.agg(F.count(F.lit(1)).alias("scanned"), F.count(out(rows)).alias("processed")).first()
+    return PipelineStats(int(before["scanned"]), int(before["processed"]), written, 0, int(before["processed"]) - written if key else 0)

@@ -26,3 +26,12 @@ def match(index: DataFrame, term: str, field: str | None = None) -> DataFrame:
     """``rowid`` of rows that have the term, in one field or in any."""
     found = index.where(F.array_contains(terms(F.lit(term)), F.col("term")))
     return (found.where(F.col("field") == field) if field else found).select("rowid").distinct()
+
+
+def find(rows: DataFrame, id_column: str, columns: Sequence[str], term: str) -> DataFrame:
+    """``rowid`` of rows that have the term in any of the columns: one search without an index."""
+    wanted = terms(F.lit(term))
+    has = F.lit(False)
+    for c in columns:
+        has = has | F.coalesce(F.arrays_overlap(terms(F.col(c).cast("string")), wanted), F.lit(False))
+    return rows.where(has).select(F.col(id_column).alias("rowid")).distinct()

@@ -12,10 +12,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import schema, sqlfuncs
 from ..functions import artists, export, identity, similarity, text
 from ..operators import classify, dedup, filters, mapping, pipeline, report, resolve, search
-from ..runtime import ship
-from ..sinks import copy_text
+from ..runtime import scratch_path, ship
+from ..sinks import copy_text, csv_files, sqlite
 from ..sources import files, mysql_dump
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -143,16 +144,76 @@ def _literal(name: str, form, pairs: list[tuple[str | None, str | None]]) -> Non
     ORACLE_SQL[name] = f"SELECT * FROM (VALUES {values}) t(i, y)"
 
 
-_literal("fix_mojibake", text.fix_mojibake, [("Ã©", "é"), ("Î£tella", "Σtella"), ("â€™", "’"), ("EL NIÑO", "EL NIÑO"), ("Â", "Â"), ("Øster", "Øster"), ("ÃƒÂ©", "Ã©"), ("Ã© 日本", "Ã© 日本"), ("", ""), (None, None)])
-_literal("apply_folds", text.apply_folds, [("Στελλας", "Στελλασ"), ("ægir", "aegir"), ("œuvre", "oeuvre"), ("łøı", "łøı"), (None, None)])
-_literal("strip_cf", text.strip_cf, [("Hello‎World", "HelloWorld"), ("‮Reversed‬", "Reversed"), ("a‍b", "a‍b"), ("­soft", "soft"), (None, None)])
+def _decorated(name: str, form, sql: str, decorate: str) -> None:
+    """A form over all parts, whose names get the characters that it is about."""
+    source = f"SELECT p_partkey AS id, {decorate} AS x FROM {{part}}"
+
+    @query(name, f"SELECT id, {sql} AS y FROM ({source})")
+    def run(spark, sf_dir):
+        return _rows(spark, sf_dir, source).select("id", form(F.col("x")).alias("y"))
+
+
+def _turns(*forms: str) -> str:
+    return "CASE " + " ".join(f"WHEN p_partkey % {len(forms)} = {i} THEN {x}" for i, x in enumerate(forms)) + " END"
+
+
+_decorated(
+    "fix_mojibake",
+    text.fix_mojibake,
+    "CASE WHEN id % 7 IN (2, 4, 5) THEN x ELSE replace(replace(replace(x, 'Ã©', 'é'), 'Î£', 'Σ'), 'â€™', '’') END",
+    _turns("p_name || ' Ã©tude'", "'Î£tella ' || p_name || 'â€™s'", "'EL NIÑO ' || p_name", "p_name", "p_name || ' Ã© 日本'", "'Â ' || p_name || ' Øster'", "p_name || ' â€™'"),
+)
+_decorated("apply_folds", text.apply_folds, "replace(replace(replace(x, 'ς', 'σ'), 'æ', 'ae'), 'œ', 'oe')", _turns("p_name || ' Στελλας'", "'ægir œuvre ' || p_name", "p_name || ' łøı Æ Œ'", "p_name"))
+_decorated("strip_cf", text.strip_cf, "replace(replace(replace(replace(x, '\u200e', ''), '\u202e', ''), '\u202c', ''), '\u00ad', '')", _turns("p_name || '\u200ex'", "'\u202e' || p_name || '\u202c'", "p_name || '\u200db'", "'\u00ad' || p_name || '\u00ad'", "p_name"))
 _literal(
     "ascii_literals",
     text.ascii_form,
-    [("Аукцыон", "auktsyon"), ("Stereolab 🎸", "stereolab"), ("Łukasz", "lukasz"), ("Björk", "bjork"), ("Στελλάς", "stellas"), ("Кино", "kino"), ("Молчат Дома", "molchat doma"), ("Ё", "yo"), ("Aşıq Altay", "asiq altay"), ("繭", "mao"), ("‮Reversed‬", "reversed"), (None, None)],
+    [("Аукцыон", "auktsyon"), ("Stereolab 🎸", "stereolab"), ("Łukasz", "lukasz"), ("Björk", "bjork"), ("Στελλάς", "stellas"), ("Кино", "kino"), ("Молчат Дома", "molchat doma"), ("Ё", "yo"), ("Aşıq Altay", "asiq altay"), ("‮Reversed‬", "reversed"), (None, None)],
 )
 _literal("match_literals", text.match_form, [("NILÜFER YANYA", "nilufer yanya"), ("Στελλάς", "στελλασ"), ("Ё", "ё"), ("Aşıq Altay", "asıq altay"), ("Î£tella", "σtella"), ("café", "cafe"), ("İ", "i"), ("  two   spaces ", "two spaces"), ("", ""), (None, None)])
-_literal("pick_artwork", lambda x: export.pick_artwork(F.from_json(x, "array<struct<type:string,uri:string>>")), [('[{"type":"secondary","uri":"a"},{"type":"primary","uri":"b"}]', "b"), ('[{"type":"secondary","uri":"a"}]', "a"), ("[]", None), (None, None)])
+_IMAGES = """SELECT p_partkey AS id, CASE p_partkey % 5 WHEN 0 THEN array(named_struct('type', 'secondary', 'uri', p_name), named_struct('type', 'primary', 'uri', p_brand))
+ WHEN 1 THEN array(named_struct('type', 'secondary', 'uri', p_name), named_struct('type', 'secondary', 'uri', p_brand)) WHEN 2 THEN CAST(array() AS ARRAY<STRUCT<type: STRING, uri: STRING>>)
+ WHEN 3 THEN array(named_struct('type', 'primary', 'uri', p_type), named_struct('type', 'primary', 'uri', p_brand)) END AS images FROM {part}"""
+
+
+@query("pick_artwork", "SELECT p_partkey AS id, CASE p_partkey % 5 WHEN 0 THEN p_brand WHEN 1 THEN p_name WHEN 3 THEN p_type END AS y FROM {part}")
+def _artwork(spark, sf_dir):
+    return _rows(spark, sf_dir, _IMAGES).select("id", export.pick_artwork(F.col("images")).alias("y"))
+
+
+@query("unaccent_rules")
+def _unaccent(spark, sf_dir):
+    """Characters that the match form changes, and what to; see ``text.unaccent_rules``."""
+    return text.unaccent_rules(spark)
+
+
+# ---- the forms as SQL functions of the session: of a release's name, or of its match form
+
+_SQL_FORMS = {
+    "match_form": _MATCH,
+    "strip_trailing_parens": _sql_parens("x"),
+    "drop_articles": _sql_articles("x"),
+    "identity_baseline": _KEY,
+    "identity_match_artist": _IDENTITY,
+    "identity_match_title": _IDENTITY,
+    "identity_match_with_punctuation": _PUNCT,
+    "identity_match_with_disambiguator_strip": _DISAMB,
+}
+
+
+def _sql_form(function: str, sql: str) -> None:
+    of_form = function in ("strip_trailing_parens", "drop_articles")
+    source = f"SELECT id, {_MATCH} AS x FROM ({RELEASES})" if of_form else RELEASES
+
+    @query(f"sql_{function}", f"SELECT id, {sql} AS y FROM ({source})")
+    def run(spark, sf_dir):
+        sqlfuncs.register(spark, "tonearm_")
+        argument = "tonearm_match_form(artist)" if of_form else "artist"
+        return _rows(spark, sf_dir, f"SELECT id, tonearm_{function}({argument}) AS y FROM ({RELEASES})")
+
+
+for _name, _sql in _SQL_FORMS.items():
+    _sql_form(_name, _sql)
 
 
 # ---- artists
@@ -181,8 +242,9 @@ _SPLIT_CTX = """SELECT c_custkey AS id, CASE c_custkey % 7 WHEN 0 THEN c_name ||
 
 @query("split_artist_ctx", _SPLIT_CTX)
 def _split_ctx(spark, sf_dir):
-    known = [r["key"] for r in _rows(spark, sf_dir, _SEGMENTS).limit(1000).collect()]  # market segments: a few
-    return _rows(spark, sf_dir, CREDITS).select("id", F.array_join(artists.split_artist_contextual(F.col("credit"), known), "|").alias("y"))
+    # market segments are a few; ``split_credits`` takes a known set of any size
+    rows = _rows(spark, sf_dir, f"SELECT id, credit, (SELECT collect_set(key) FROM ({_SEGMENTS})) AS known FROM ({CREDITS})")
+    return rows.select("id", F.array_join(artists.split_artist_contextual(F.col("credit"), F.col("known")), "|").alias("y"))
 
 
 @query("split_artist_ctx_table", _SPLIT_CTX)
@@ -233,9 +295,10 @@ def _batches(spark, sf_dir):
     return done[0].unionByName(done[1]).unionByName(done[2])
 
 
-# ---- similarity: customers and suppliers of one nation
+# ---- similarity: customers and the suppliers they have bought from, as many pairs as line items at most
 
-_PAIRS = "SELECT c_custkey, s_suppkey, c_name || ' ' || c_mktsegment AS a, s_name || ' building' AS b FROM {customer} JOIN {supplier} ON c_nationkey = s_nationkey"
+_PAIRS = """SELECT c_custkey, s_suppkey, c_name || ' ' || c_mktsegment AS a, s_name || ' building' AS b FROM
+ (SELECT DISTINCT o_custkey, l_suppkey FROM {lineitem} JOIN {orders} ON l_orderkey = o_orderkey) JOIN {customer} ON o_custkey = c_custkey JOIN {supplier} ON l_suppkey = s_suppkey"""
 
 
 def _pairs(name: str, column, oracle: str | None = None) -> None:
@@ -246,31 +309,55 @@ def _pairs(name: str, column, oracle: str | None = None) -> None:
 
 _pairs("levenshtein_ratio", similarity.levenshtein_ratio, "1 - levenshtein(a, b) / greatest(strlen(a), strlen(b))")
 _pairs("jaro_winkler", similarity.jaro_winkler, "jaro_winkler_similarity(a, b)")
-def _sql_ratio(a: str, b: str) -> str:
-    """2 LCS / lengths, by dynamic programming over lists: the row after each character of a."""
-    row = (
-        f"list_reduce(list_transform(string_split({a}, ''), lambda ch: [unicode(ch)]), lambda acc, c: list_transform(range(1, length({b}) + 1), lambda j: "
-        f"greatest(acc[j], list_max(list_transform(range(1, j + 1), lambda k: CASE WHEN unicode(substr({b}, k, 1)) = c[1] THEN (CASE WHEN k > 1 THEN acc[k - 1] ELSE 0 END) + 1 ELSE 0 END)))), "
-        f"list_transform(range(1, length({b}) + 1), lambda z: 0))"
-    )
-    return f"CASE WHEN length({a}) + length({b}) = 0 THEN 1.0::DOUBLE WHEN length({a}) = 0 OR length({b}) = 0 THEN 0.0::DOUBLE ELSE 2.0::DOUBLE * list_last({row}) / (length({a}) + length({b})) END"
+
+
+def _sql_masks(s: str) -> str:
+    """Character -> the places where ``s`` has it, as the bits of a number; for up to 120 characters."""
+    bits = f"list_transform(range(1, length({s}) + 1), lambda j: CASE WHEN substr({s}, j, 1) = ch THEN 1::HUGEINT << CAST(j - 1 AS INTEGER) ELSE 0::HUGEINT END)"
+    return f"map_from_entries(list_transform(list_distinct(string_split({s}, '')), lambda ch: (ch, CAST(list_sum({bits}) AS HUGEINT))))"
+
+
+def _sql_lcs(a: str, b: str, masks: str) -> str:
+    """Length of the longest common subsequence, by the zeros of a row of bits."""
+    full = f"((1::HUGEINT << CAST(length({b}) AS INTEGER)) - 1)"
+    row = f"list_reduce(list_transform(string_split({a}, ''), lambda ch: coalesce({masks}[ch], 0::HUGEINT)), lambda r, k: ((r + (r & k)) | (r - (r & k))) & {full}, {full})"
+    return f"CASE WHEN length({a}) = 0 OR length({b}) = 0 THEN 0 ELSE length({b}) - bit_count({row}) END"
+
+
+def _sql_ratios(pairs: str, keys: str) -> str:
+    """Keys with the ratio ``y`` of a and b; each b gets its masks once."""
+    whole = f"SELECT {keys}, CASE WHEN length(a) + length(b) = 0 THEN 1.0::DOUBLE ELSE 2.0::DOUBLE * ({_sql_lcs('a', 'b', 'm')}) / (length(a) + length(b)) END AS y"
+    return f"{whole} FROM ({pairs}) JOIN (SELECT b, {_sql_masks('b')} AS m FROM (SELECT DISTINCT b FROM ({pairs}))) USING (b)"
 
 
 _WORDS = "list_sort(list_filter(regexp_split_to_array(lower({x}), '\\s+'), lambda t: t <> ''))"
-_SORTED = f"SELECT c_custkey, s_suppkey, array_to_string({_WORDS.format(x='a')}, ' ') AS a, array_to_string({_WORDS.format(x='b')}, ' ') AS b FROM ({_PAIRS})"
-_SETS = f"SELECT c_custkey, s_suppkey, list_distinct({_WORDS.format(x='a')}) AS u, list_distinct({_WORDS.format(x='b')}) AS v FROM ({_PAIRS})"
-_PARTS = f"""SELECT c_custkey, s_suppkey, array_to_string(list_sort(list_filter(u, lambda t: list_contains(v, t))), ' ') AS i,
- array_to_string(list_sort(list_filter(u, lambda t: NOT list_contains(v, t))), ' ') AS l, array_to_string(list_sort(list_filter(v, lambda t: NOT list_contains(u, t))), ' ') AS r FROM ({_SETS})"""
-_JOINED = f"SELECT c_custkey, s_suppkey, i, trim(i || ' ' || l) AS a, trim(i || ' ' || r) AS b FROM ({_PARTS})"
 
-_pairs("fuzz_ratio", similarity.fuzz_ratio, _sql_ratio("a", "b"))
+
+def _sql_sorted(pairs: str, keys: str) -> str:
+    """Keys with the token-sort ratio of a and b."""
+    return _sql_ratios(f"SELECT {keys}, array_to_string({_WORDS.format(x='a')}, ' ') AS a, array_to_string({_WORDS.format(x='b')}, ' ') AS b FROM ({pairs})", keys)
+
+
+def _sql_sets(pairs: str, keys: str) -> str:
+    """Keys with the token-set ratio of a and b.
+
+    The shared tokens begin both sides, so their longest common subsequence is themselves and that
+    of the rest.
+    """
+    sets = f"SELECT {keys}, list_distinct({_WORDS.format(x='a')}) AS u, list_distinct({_WORDS.format(x='b')}) AS v FROM ({pairs})"
+    parts = f"""SELECT {keys}, array_to_string(list_sort(list_filter(u, lambda t: list_contains(v, t))), ' ') AS i,
+ array_to_string(list_sort(list_filter(u, lambda t: NOT list_contains(v, t))), ' ') AS l, array_to_string(list_sort(list_filter(v, lambda t: NOT list_contains(u, t))), ' ') AS r FROM ({sets})"""
+    rest = f"SELECT {keys}, length(i) AS n, substr(trim(i || ' ' || l), length(i) + 1) AS a, substr(trim(i || ' ' || r), length(i) + 1) AS b FROM ({parts})"
+    masked = f"SELECT * FROM ({rest}) JOIN (SELECT b, {_sql_masks('b')} AS m FROM (SELECT DISTINCT b FROM ({rest}))) USING (b)"
+    scored = f"SELECT {keys}, n, length(a) AS na, length(b) AS nb, {_sql_lcs('a', 'b', 'm')} AS c FROM ({masked})"
+    return f"SELECT {keys}, CASE WHEN n + na + nb = 0 THEN 1.0::DOUBLE WHEN n + na = 0 OR n + nb = 0 THEN 0.0::DOUBLE ELSE greatest(2.0::DOUBLE * (n + c) / (2 * n + na + nb), 2.0::DOUBLE * n / (2 * n + na), 2.0::DOUBLE * n / (2 * n + nb)) END AS y FROM ({scored})"
+
+
+_pairs("fuzz_ratio", similarity.fuzz_ratio)
 _pairs("token_sort_ratio", similarity.token_sort_ratio)
 _pairs("token_set_ratio", similarity.token_set_ratio)
-ORACLE_SQL["token_sort_ratio"] = _duck(f"SELECT c_custkey, s_suppkey, round({_sql_ratio('a', 'b')}, 6) AS y FROM ({_SORTED})")
-# the shared tokens begin both sides, so their longest common subsequence is themselves
-ORACLE_SQL["token_set_ratio"] = _duck(
-    f"SELECT c_custkey, s_suppkey, round(greatest({_sql_ratio('a', 'b')}, 2.0::DOUBLE * length(i) / (length(i) + length(a)), 2.0::DOUBLE * length(i) / (length(i) + length(b))), 6) AS y FROM ({_JOINED})"
-)
+for _name, _make in (("fuzz_ratio", _sql_ratios), ("token_sort_ratio", _sql_sorted), ("token_set_ratio", _sql_sets)):
+    ORACLE_SQL[_name] = _duck(f"SELECT c_custkey, s_suppkey, round(y, 6) AS y FROM ({_make(_PAIRS, 'c_custkey, s_suppkey')})")
 
 
 # ---- library and classification
@@ -314,36 +401,63 @@ def _exact(spark, sf_dir):
     return classify.score_exact(_keys(spark, sf_dir), _index(spark, sf_dir))
 
 
-@query("score_token_set")
+_NEAR = f"""SELECT DISTINCT q AS a, text AS b FROM (SELECT unnest({_TOKENS.format(x='q')}) AS token, q FROM (SELECT artist || ' ||| ' || title AS q FROM ({_RELEASE_KEYS})))
+ JOIN (SELECT unnest({_TOKENS.format(x='text')}) AS token, text FROM ({_TEXTS})) USING (token)"""
+#: The same pairs under names that the ratios leave alone.
+_NAMED_NEAR = f"SELECT a AS qa, b AS qb, a, b FROM ({_NEAR})"
+
+
+def _sql_best(make, name: str) -> str:
+    """The best score of each release's candidates, 0 without one."""
+    return f"SELECT artist, title, coalesce(max(y), 0.0::DOUBLE) AS {name} FROM ({_RELEASE_KEYS}) LEFT JOIN ({make(_NAMED_NEAR, 'qa, qb')}) ON qa = artist || ' ||| ' || title GROUP BY ALL"
+
+
+_TS, _TR = _sql_best(_sql_sets, "ts"), _sql_best(_sql_sorted, "tr")
+
+
+@query("score_token_set", f"SELECT artist, title, round(ts, 6) AS ts FROM ({_TS})")
 def _token_set(spark, sf_dir):
     return classify.score_tokens(_keys(spark, sf_dir), _index(spark, sf_dir)).select("artist", "title", F.round("ts", 6).alias("ts"))
 
 
-@query("score_token_sort")
+@query("score_token_sort", f"SELECT artist, title, round(tr, 6) AS tr FROM ({_TR})")
 def _token_sort(spark, sf_dir):
     return classify.score_tokens(_keys(spark, sf_dir), _index(spark, sf_dir)).select("artist", "title", F.round("tr", 6).alias("tr"))
 
 
-@query(
-    "score_two_stage",
-    f"""WITH q AS ({_RELEASE_KEYS}), lib AS ({_LIB_SQL}), la AS (SELECT DISTINCT artist FROM lib), lt AS (SELECT unnest({_TOKENS.format(x='artist')}) AS token, artist AS lib_artist FROM la),
+_TWO_STAGE = f"""WITH q AS ({_RELEASE_KEYS}), lib AS ({_LIB_SQL}), la AS (SELECT DISTINCT artist FROM lib), lt AS (SELECT unnest({_TOKENS.format(x='artist')}) AS token, artist AS lib_artist FROM la),
  qt AS (SELECT unnest({_TOKENS.format(x='artist')}) AS token, artist FROM (SELECT DISTINCT artist FROM q)),
  near AS (SELECT DISTINCT artist, lib_artist FROM qt JOIN lt USING (token)), s AS (SELECT *, jaro_winkler_similarity(artist, lib_artist) AS a FROM near),
  b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY artist ORDER BY a DESC, lib_artist) AS n FROM s WHERE a > 0) WHERE n = 1 AND a >= 0.7),
  t AS (SELECT q.artist, q.title, max(b.a) AS a, max(jaro_winkler_similarity(q.title, lib.title)) AS t FROM q JOIN b ON q.artist = b.artist JOIN lib ON lib.artist = b.lib_artist GROUP BY ALL)
- SELECT q.artist, q.title, round(coalesce(sqrt(t.a * t.t), 0.0), 6) AS tw FROM q LEFT JOIN t ON q.artist = t.artist AND q.title = t.title""",
-)
+ SELECT q.artist, q.title, coalesce(sqrt(t.a * t.t), 0.0) AS tw FROM q LEFT JOIN t ON q.artist = t.artist AND q.title = t.title"""
+_VERDICT = """CASE WHEN exact THEN 'keep' WHEN ts >= 0.4 AND ts < 0.8 THEN 'review' WHEN tr >= 0.4 AND tr < 0.8 THEN 'review' WHEN ts >= 0.8 AND tr >= 0.8 AND tw >= 0.8 THEN 'keep'
+ WHEN ts < 0.4 AND tr < 0.4 AND tw < 0.4 THEN 'prune' ELSE 'review' END"""
+_CLASSIFIED = f"""SELECT k.artist, k.title, l.artist IS NOT NULL AS exact, ts, tr, tw FROM ({_RELEASE_KEYS}) k LEFT JOIN ({_LIB_SQL}) l ON k.artist = l.artist AND k.title = l.title
+ JOIN ({_TS}) s ON s.artist = k.artist AND s.title = k.title JOIN ({_TR}) r ON r.artist = k.artist AND r.title = k.title JOIN ({_TWO_STAGE}) w ON w.artist = k.artist AND w.title = k.title"""
+
+
+@query("score_two_stage", f"SELECT artist, title, round(tw, 6) AS tw FROM ({_TWO_STAGE})")
 def _two_stage(spark, sf_dir):
     return classify.score_two_stage(_keys(spark, sf_dir), _index(spark, sf_dir)).select("artist", "title", F.round("tw", 6).alias("tw"))
 
 
-@query("classify_release")
+# scores of a release that is in the library are not computed
+@query(
+    "classify_release",
+    f"""SELECT artist, title, exact::INT::DOUBLE AS exact, CASE WHEN NOT exact THEN round(ts, 6) END AS ts, CASE WHEN NOT exact THEN round(tr, 6) END AS tr, CASE WHEN NOT exact THEN round(tw, 6) END AS tw,
+ {_VERDICT} AS classification FROM ({_CLASSIFIED})""",
+)
 def _classify(spark, sf_dir):
     out = classify.classify(_keys(spark, sf_dir), _index(spark, sf_dir))
     return out.select("artist", "title", "exact", *[F.round(c, 6).alias(c) for c in ("ts", "tr", "tw")], "classification")
 
 
-@query("batch_classify")
+@query(
+    "batch_classify",
+    f"""SELECT o.id, o.artist, o.title, {_VERDICT} AS classification FROM (SELECT *, {_MATCH} AS match_artist, lower(title) AS match_title FROM ({RELEASES})) o
+ JOIN ({_CLASSIFIED}) c ON c.artist = o.match_artist AND c.title = o.match_title""",
+)
 def _batch(spark, sf_dir):
     """Flagship: every release, with its verdict."""
     return classify.batch_classify(_rows(spark, sf_dir, RELEASES), _index(spark, sf_dir))
@@ -378,8 +492,10 @@ _ALIAS_SET = "SELECT lower(c_name) AS key FROM {customer} WHERE c_mktsegment = '
 
 @query("alias_load", "SELECT CAST(c_nationkey AS BIGINT) AS artist_id, lower(c_name) AS key FROM {customer} WHERE c_acctbal > 9000")
 def _aliases(spark, sf_dir):
-    rows = _rows(spark, sf_dir, _ALIASES)
-    return rows.select(F.coalesce(F.expr("try_cast(artist_id AS BIGINT)"), F.lit(0)).alias("artist_id"), text.match_form(F.col("alias_name")).alias("key"))
+    """Written as a CSV with an id, a name and an alias, and read by the loader."""
+    path = scratch_path(spark, "aliases")
+    _rows(spark, sf_dir, _ALIASES).select("artist_id", F.lit("x").alias("artist_name"), "alias_name").write.option("header", True).csv(path)
+    return filters.load_aliases(spark, path)
 
 
 @query(
@@ -402,17 +518,16 @@ def _titles(spark, sf_dir):
 
 # ---- resolution
 
-_CATALOG = "SELECT DISTINCT p_name AS name FROM {part}"
+#: Catalog entries in the order of their least part number.
+_CATALOG = "SELECT p_name AS name, min(p_partkey) AS idx FROM {part} GROUP BY p_name"
 _QUERY_NAMES = "SELECT DISTINCT substr(p_name, 1, length(p_name) - 1) || CASE WHEN p_partkey % 2 = 0 THEN '' ELSE 'x' END AS name FROM {part}"
 
 
 def _numbered(spark, sf_dir) -> DataFrame:
-    from pyspark.sql import Window
-
-    return _rows(spark, sf_dir, _CATALOG).withColumn("idx", F.row_number().over(Window.orderBy("name")) - 1)
+    return _rows(spark, sf_dir, _CATALOG)
 
 
-_SCORED = f"SELECT q.name, c.name AS entry, c.idx, jaro_winkler_similarity(q.name, c.name) AS s FROM ({_QUERY_NAMES}) q, (SELECT name, row_number() OVER (ORDER BY name) - 1 AS idx FROM ({_CATALOG})) c"
+_SCORED = f"SELECT q.name, c.name AS entry, c.idx, jaro_winkler_similarity(q.name, c.name) AS s FROM ({_QUERY_NAMES}) q, ({_CATALOG}) c"
 
 
 @query(
@@ -484,10 +599,10 @@ def _pipeline_stats(spark, sf_dir):
     return pipeline.stats(rows, done, pipeline.deduplicated(done, "item", "event_id"))
 
 
-@query("pipeline_seen", f"SELECT user_id, min(event_id) AS event_id FROM {{events}} WHERE user_id NOT IN (SELECT user_id FROM {{events}} WHERE value > 95) GROUP BY user_id")
+@query("pipeline_seen", f"SELECT user_id, min(event_id) AS event_id FROM {{events}} WHERE user_id NOT IN (SELECT user_id FROM {{events}} WHERE event_id % 97 = 0) GROUP BY user_id")
 def _seen(spark, sf_dir):
     rows = files.table(spark, sf_dir, "events")
-    return dedup.against_seen(rows, "user_id", rows.where("value > 95"), "event_id").select("user_id", "event_id")
+    return dedup.against_seen(rows, "user_id", rows.where("event_id % 97 = 0"), "event_id").select("user_id", "event_id")
 
 
 # ---- report
@@ -527,7 +642,60 @@ def _shift(spark, sf_dir):
     "SELECT doc_id AS rowid FROM {documents} WHERE list_contains(regexp_split_to_array(translate(lower(text), 'äçèéêíñóöüàâîïôùûëáúìò', 'aceeeinoouaaiiouueauio'), '[^\\p{{L}}\\p{{N}}]+'), 'fur')",
 )
 def _fts(spark, sf_dir):
-    return search.match(search.build_index(files.table(spark, sf_dir, "documents"), "doc_id", ["text"]), "Für", "text")
+    return search.find(files.table(spark, sf_dir, "documents"), "doc_id", ["text"], "Für")
+
+
+@query("fts_index", "SELECT p_partkey AS rowid FROM {part} WHERE list_contains(regexp_split_to_array(lower(p_name), '[^\\p{{L}}\\p{{N}}]+'), 'red') OR list_contains(regexp_split_to_array(lower(p_type), '[^\\p{{L}}\\p{{N}}]+'), 'red')")
+def _fts_index(spark, sf_dir):
+    return search.match(search.build_index(files.table(spark, sf_dir, "part"), "p_partkey", ["p_name", "p_type"]), "RED")
+
+
+# ---- report bands
+
+_BAND = "SELECT c_custkey AS id, c_acctbal / 10000 AS confidence, c_acctbal / 1000 AS shift FROM {customer}"
+
+
+@query("confidence_bands", f"SELECT id, CASE WHEN confidence >= 0.85 THEN 'high' WHEN confidence >= 0.70 THEN 'review' WHEN confidence IS NOT NULL THEN 'low' END AS band, CASE WHEN shift <= 2 THEN 'green' WHEN shift <= 5 THEN 'review' ELSE 'refine' END AS gate FROM ({_BAND})")
+def _bands(spark, sf_dir):
+    return _rows(spark, sf_dir, _BAND).select("id", report.band(F.col("confidence")).alias("band"), report.gate(F.col("shift")).alias("gate"))
+
+
+# ---- sinks, there and back
+
+_QUOTED = "SELECT CAST(s_suppkey AS STRING) AS k, s_name || ', \"x\"' AS v FROM {supplier}"
+
+
+@query("csv_round_trip", f"SELECT 'supplier' AS t, k, v FROM ({_QUOTED}) UNION ALL SELECT 'nation', CAST(n_nationkey AS VARCHAR), n_name FROM {{nation}}")
+def _csv_back(spark, sf_dir):
+    w = csv_files.MultiCsvWriter(scratch_path(spark, "csv"), [csv_files.CsvFileSpec("supplier.csv", ["k", "v"]), csv_files.CsvFileSpec("nation.csv", ["k", "v"])])
+    first = w.write("supplier.csv", _rows(spark, sf_dir, _QUOTED))
+    second = w.write(1, _rows(spark, sf_dir, "SELECT n_nationkey AS k, n_name AS v FROM {nation}"), order="k", one_file=True)
+    return files.csv(spark, first).select(F.lit("supplier").alias("t"), "k", "v").unionByName(files.csv(spark, second).select(F.lit("nation").alias("t"), "k", "v"))
+
+
+_TABBED = "SELECT c_custkey AS k, c_name || chr(9) || c_mktsegment AS v FROM {customer}"
+
+
+@query("copy_round_trip", _TABBED)
+def _copy_back(spark, sf_dir):
+    """Bulk-load lines, split and unescaped again."""
+    path = scratch_path(spark, "copy")
+    copy_text.write_copy(_rows(spark, sf_dir, _TABBED), path)
+    cells = F.split("value", "\t")
+    return files.lines(spark, path).select(F.get(cells, F.lit(0)).cast("long").alias("k"), F.replace(F.get(cells, F.lit(1)), F.lit("\\t"), F.lit("\t")).alias("v"))
+
+
+@query("sqlite_round_trip", "SELECT s_suppkey AS id, s_name AS title, CAST(s_nationkey AS VARCHAR) AS artist FROM {supplier}")
+def _sqlite_back(spark, sf_dir):
+    """A SQLite file has one writer and reader, the driver, so this is for tables of that size."""
+    import tempfile
+
+    with tempfile.TemporaryDirectory() as folder:
+        path = f"{folder}/library.db"
+        with sqlite.SqliteWriter(path, schema.LIBRARY_DDL) as w:
+            w.write("library", _rows(spark, sf_dir, "SELECT s_suppkey, s_name, CAST(s_nationkey AS STRING), NULL, NULL, NULL, NULL, NULL, NULL FROM {supplier}"))
+        rows = sqlite.read_rows(path, "SELECT id, title, artist FROM library")
+        return spark.createDataFrame(rows, "id long, title string, artist string")
 
 
 # ---- dump
@@ -542,6 +710,32 @@ def _dump(spark, sf_dir):
     return rows.select("k", "row_in_line", mysql_dump.cell_as(cells, 0, "bigint").alias("i"), mysql_dump.cell_as(cells, 1, "string").alias("s"), mysql_dump.cell_as(cells, 3, "double").alias("f"), F.get(cells, F.lit(2))["kind"].alias("third"))
 
 
+@query("dump_file", "SELECT n_nationkey AS i, n_name AS s, n_regionkey * 0.25::DOUBLE AS f FROM {nation} UNION ALL SELECT -p_partkey, p_name || ' it''s', NULL FROM {part}")
+def _dump_file(spark, sf_dir):
+    """A dump file of two tables, written line by line, of which one is read."""
+    path = scratch_path(spark, "dump")
+    lines = """SELECT 'INSERT INTO `t` VALUES (' || n_nationkey || ',''' || n_name || ''',' || n_regionkey * 0.25D || '),(' || n_nationkey || ');' AS value FROM {nation}
+ UNION ALL SELECT 'INSERT INTO `t` VALUES (-' || p_partkey || ',''' || p_name || ' it' || chr(92) || '''s'',NULL);' FROM {part} UNION ALL SELECT 'INSERT INTO `other` VALUES (' || c_custkey || ');' FROM {customer}"""
+    _rows(spark, sf_dir, lines).write.text(path)
+    cells = F.col("cells")
+    rows = mysql_dump.read_table(spark, path, "t").where(F.size("cells") == 3)
+    return rows.select(mysql_dump.cell_as(cells, 0, "bigint").alias("i"), mysql_dump.cell_as(cells, 1, "string").alias("s"), mysql_dump.cell_as(cells, 2, "double").alias("f"))
+
+
+#: Statements of all parts, with what the reader makes of numbers, quotes and other bytes.
+_QUIRKS = """SELECT p_partkey AS i, 'INSERT INTO `t` VALUES ' || CASE p_partkey % 8 WHEN 0 THEN '(' || p_size || ',''' || p_name || ''',NULL)' WHEN 1 THEN '(' || p_size || ' ,2)' WHEN 2 THEN '(''' || p_name || chr(39) || chr(39) || 's'')'
+ WHEN 3 THEN '(' || p_size || 'e5)' WHEN 4 THEN '()' WHEN 5 THEN '(' || p_size || '.5,-7)' WHEN 6 THEN '(1,.' || p_size || ',''x'')' ELSE '(99999999999999999999)' END || ';' AS value FROM {part}"""
+
+
+@query(
+    "parse_quirks",
+    """SELECT p_partkey AS i, CASE p_partkey % 8 WHEN 0 THEN p_size || ',''' || p_name || ''',NULL' WHEN 1 THEN p_size || ',NULL,2' WHEN 2 THEN chr(39) || p_name || ''',''s''' WHEN 3 THEN p_size || ',NULL,5'
+ WHEN 5 THEN p_size || '.5,-7' WHEN 6 THEN '1,NULL,' || p_size || ',''x''' ELSE '0' END AS y FROM {part} WHERE p_partkey % 8 <> 4""",
+)
+def _quirks(spark, sf_dir):
+    return mysql_dump.parsed(_rows(spark, sf_dir, _QUIRKS)).select("i", F.array_join(F.transform("cells", mysql_dump.display), ",").alias("y"))
+
+
 _VALUES = [("(1,'a',NULL)", "1,'a',NULL"), ("(1 ,2)", "1,NULL,2"), ("('it''s')", "'it','s'"), ("(1e5)", "1,NULL,5"), ("()", None), ("(3.5,-7)", "3.5,-7"), ("('(remix)')", "'(remix)'"), ("('a\\nb')", "'a\nb'"), ("(99999999999999999999)", "0")]
 
 

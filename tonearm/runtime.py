@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -17,3 +18,14 @@ def ship(spark: SparkSession | None = None) -> None:
     have = env.get("PYTHONPATH", "")
     if _ROOT not in have.split(os.pathsep):
         env["PYTHONPATH"] = os.pathsep.join(x for x in (have, _ROOT) if x)
+
+
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new path in the folder that driver and executors share, ``spark.checkpoint.dir``; a local
+    session without that setting gets a folder of its own."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        named = f"/tmp/checkpoints/{spark.sparkContext.applicationId}"
+    return f"{named.rstrip('/')}/tonearm/{name}-{uuid.uuid4().hex}"

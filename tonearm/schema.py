@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 LIBRARY = {
     "library": "id int, title string, artist string, call_letters string, artist_call_number int, release_call_number int, genre string, format string, alternate_artist_name string",
 }
+#: Fixed values.
 LIBRARY_FTS_TABLE = "library_fts"
 LIBRARY_FTS_COLUMNS = ("title", "artist", "alternate_artist_name")
 
@@ -85,6 +86,7 @@ def create_table(group: str, table: str, using: str = "parquet") -> str:
 
 
 #: For the SQLite writer.
+#: The columns.
 LIBRARY_DDL = (
     "CREATE TABLE library (id INTEGER PRIMARY KEY, title TEXT, artist TEXT, call_letters TEXT, artist_call_number INTEGER, "
     "release_call_number INTEGER, genre TEXT, format TEXT, alternate_artist_name TEXT)"

@@ -19,11 +19,22 @@ _PARENS = f"""CASE WHEN x RLIKE '{_GROUP}' THEN rtrim(regexp_replace(x, '{_GROUP
    'hit', CASE WHEN acc.hit = 0 AND acc.depth + CASE WHEN c = right(rtrim(x), 1) THEN 1 WHEN c = translate(right(rtrim(x), 1), ')]', '([') THEN -1 ELSE 0 END = 0 THEN acc.seen + 1 ELSE acc.hit END),
   acc -> acc.hit)), at -> CASE WHEN at > 0 AND at < length(rtrim(x)) THEN rtrim(substr(x, 1, at)) END), 0), x) ELSE x END"""
 
+_OTHER = text.OTHER.replace("\\", "\\\\")
+_TABLE = ", ".join("'" + v.replace("'", "\\'") + "'" for pair in text.LETTERS.items() for v in pair)
+#: ``transliterate`` of other scripts, by a table.
+_OTHER_LETTERS = f"array_join(transform(split(x, ''), c -> coalesce(try_element_at(map({_TABLE}), c), c)), '')"
+
 #: Name -> a Column form, or SQL over earlier functions (``{p}`` is the prefix).
 FUNCTIONS = {
     "match_form": text.match_form,
     "storage_form": text.storage_form,
-    "ascii_of_match": text.ascii_of_match,
+    # arguments are worked out before a CASE around the call
+    "plain_letters": lambda x: F.when(x.isNotNull(), text._plain_letters(x)),
+    "other_letters": _OTHER_LETTERS,
+    "before_letters": text.before_letters,
+    "after_letters": text.after_letters,
+    "ascii_letters": f"CASE WHEN x RLIKE '[{_OTHER}]' THEN {{p}}other_letters({{p}}plain_letters({{p}}other_letters(x))) ELSE {{p}}plain_letters(x) END",
+    "ascii_of_match": "CASE WHEN octet_length(x) = char_length(x) THEN x WHEN x IS NOT NULL THEN {p}after_letters({p}ascii_letters({p}before_letters(x))) END",
     "ascii_form": "{p}ascii_of_match({p}match_form(x))",
     "fix_mojibake": text.fix_mojibake,
     "collapse_space": text.collapse_space,
@@ -47,7 +58,7 @@ def register(spark: SparkSession, prefix: str = "") -> list[str]:
     made = []
     for name, form in FUNCTIONS.items():
         if isinstance(form, str):
-            body = form if form is _PARENS else form.format(p=prefix)
+            body = form.replace("{p}", prefix)
         else:
             body = _sql_of(probe, form(F.col("x")))
         kind = "BOOLEAN" if name == "is_compilation_artist" else "STRING"
