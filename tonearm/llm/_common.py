@@ -63,7 +63,16 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     df.write.parquet(path)
     if _MADE:
         _MADE[-1].append(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._staged_at = path
+    return out
+
+
+def unstage(df: DataFrame) -> None:
+    """Remove what ``stage`` wrote for ``df``, when nothing reads it any more."""
+    path = getattr(df, "_staged_at", None)
+    if path:
+        remove_path(df.sparkSession, path)
 
 
 @contextmanager

@@ -42,7 +42,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import read, ship, stage
+from ._common import read, ship, stage, unstage
 
 RADIUS = 3
 SHINGLE = 3
@@ -346,7 +346,8 @@ def components(edges: DataFrame, rounds: int = ROUNDS) -> DataFrame:
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v")
-        now = stage(small.where("u <> v").distinct(), "cc-edges")
+        before, now = now, stage(small.where("u <> v").distinct(), "cc-edges")
+        unstage(before)
         seen = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if tuple(seen) == mark:
             break
