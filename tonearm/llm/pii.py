@@ -217,5 +217,6 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
         *[F.size(F.filter(spans, _is_kind(k))).cast("long").alias(f"n_{k}") for k in KINDS[:BASE]],
         F.sha2(written(base), 256).alias("base_sha256"),
         written(spans).alias("spans"),
+        F.size(spans).cast("long").alias("n_spans"),
         F.array_join(F.transform(spans, lambda x: F.round(x["score"], 2).cast("string")), ",").alias("scores"),
     )
