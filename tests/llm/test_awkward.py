@@ -140,3 +140,23 @@ def test_tables_for_a_stage_go(spark, odd):
         path = _common._MADE[-1][0]
         assert kept.count() == odd.count()
     assert not _common.path_exists(spark, path)
+
+
+def test_components_of_stars_and_chains(spark):
+    """A hub of most edges, chains and rings, against a plain union of sets."""
+    rnd = random.Random(9)
+    edges = [(0, k) for k in range(1, 400)] + [(5000 - k, 5001 - k) for k in range(60)] + [(rnd.randint(6000, 6300), rnd.randint(6000, 6300)) for _ in range(200)]
+    root = {}
+
+    def top(x):
+        while root.setdefault(x, x) != x:
+            x = root[x]
+        return x
+
+    for a, b in edges:
+        if a != b:
+            x, y = top(a), top(b)
+            root[max(x, y)] = min(x, y)
+    got = {r["node"]: r["root"] for r in simhash.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {x: top(x) for x in list(root)}
+    assert simhash.components(spark.createDataFrame([], "a long, b long")).count() == 0

@@ -336,19 +336,25 @@ def components(edges: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     """``node, root``: for each node of an edge, the least node of its component.
 
     Alternating rounds: every node links its larger neighbours, then its smaller ones, to the
-    least of them. Stops when a round changes nothing.
+    least of them. Stops when a round changes nothing. The least neighbour of a node that is in more
+    than 1 / ``HOT`` of all edges, of which there are fewer than ``HOT``, is sent to all tasks.
     """
     now = stage(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "cc-edges")
-    mark = None
+    mark, total = None, now.count()
     for _ in range(rounds):
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        least = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).withColumn("m", F.least("u", "m"))
+        hot = F.col("n") * HOT > 2 * total
+        marked = both.join(F.broadcast(least.where(hot).select("u", F.col("m").alias("often"))), "u", "left")
+        rest = marked.where("often IS NULL").select("u", "v").join(least.where(~hot).select("u", "m"), "u").select("u", "v", "m")
+        every = marked.where("often IS NOT NULL").select("u", "v", F.col("often").alias("m")).unionByName(rest)
+        large = every.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v")
         before, now = now, stage(small.where("u <> v").distinct(), "cc-edges")
         unstage(before)
         seen = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        total = seen[0]
         if tuple(seen) == mark:
             break
         mark = tuple(seen)
