@@ -211,26 +211,39 @@ def sort_ratios(a: Sequence[str], b: Sequence[str]) -> np.ndarray:
 
 
 def set_ratios(a: Sequence[str], b: Sequence[str]) -> np.ndarray:
-    """``set_ratio`` of each pair: the shared tokens begin both sides, so only the rest is compared."""
-    left, right, out = [], [], np.zeros(len(a))
-    shared, sizes = np.zeros(len(a), "i8"), np.ones((len(a), 2))
-    for i, (p, q) in enumerate(zip(_token_lists(a), _token_lists(b), strict=True)):
-        u, v = set(p), set(q)
+    """``set_ratio`` of each pair: the shared tokens begin both sides, so only the rest is compared.
+
+    What a text is without its shared tokens is worked out once for each such set of tokens, and
+    equal rests are compared once.
+    """
+    of = {t: frozenset(tokens(t)) for t in {*a, *b}}
+    rests: dict[tuple[str, frozenset[str]], tuple[int, str]] = {}
+
+    def rest(text: str, shared: frozenset[str]) -> tuple[int, str]:
+        found = rests.get((text, shared))
+        if found is None:
+            both = " ".join(sorted(shared))
+            whole = " ".join(x for x in (both, " ".join(sorted(of[text] - shared))) if x)
+            found = rests[text, shared] = len(both), whole[len(both) :]
+        return found
+
+    seen: dict[tuple[str, str], int] = {}
+    at, shared, sizes, fixed = np.zeros(len(a), "i8"), np.zeros(len(a), "i8"), np.ones((len(a), 2)), np.full(len(a), -1.0)
+    for i, (x, y) in enumerate(zip(a, b, strict=True)):
+        u, v = of[x], of[y]
         if not u or not v:
-            out[i] = float(not u and not v)
-            left.append("")
-            right.append("")
+            fixed[i] = float(not u and not v)
+            at[i] = seen.setdefault(("", ""), len(seen))
             continue
-        both = " ".join(sorted(u & v))
-        x, y = (" ".join(t for t in (both, " ".join(sorted(s))) if t) for s in (u - v, v - u))
-        shared[i], sizes[i] = len(both), (len(x), len(y))
-        left.append(x[len(both) :])
-        right.append(y[len(both) :])
-        out[i] = -1
-    total = sizes.sum(1)
-    whole = 2.0 * (shared + lcs_lengths(left, right)) / np.maximum(total, 1)
-    alone = (2.0 * shared[:, None] / np.maximum(shared[:, None] + sizes, 1)).max(1)
-    return np.where(out < 0, np.maximum(whole, alone), out)
+        both = u & v
+        n, left = rest(x, both)
+        _, right = rest(y, both)
+        shared[i], sizes[i] = n, (n + len(left), n + len(right))
+        at[i] = seen.setdefault((left, right), len(seen))
+    common = shared + lcs_lengths([p for p, _ in seen], [q for _, q in seen])[at] if len(a) else shared
+    whole = 2.0 * common / np.maximum(sizes.sum(1), 1)
+    alone = (2.0 * shared[:, None] / np.maximum(shared[:, None] + sizes, 1)).max(1, initial=0)
+    return np.where(fixed < 0, np.maximum(whole, alone), fixed)
 
 
 def levenshtein_ratio(a: Column, b: Column) -> Column:

@@ -228,11 +228,16 @@ def _other_letters(x: Column) -> Column:
 
 def transliterate(x: Column) -> Column:
     """Letters of Latin, Greek, Cyrillic, kana, Hangul, Hebrew, Arabic and Armenian in ASCII; the rest
-    is left for the caller to drop. Not for NULL.
+    is left for the caller to drop. Not for NULL. A text takes the shortest way that its letters allow.
     """
-    # twice: kana before its voicing marks go, Hangul when it is decomposed
-    every = _other_letters(_plain_letters(_other_letters(x)))
-    return F.when(x.rlike(f"[{OTHER}]"), every).otherwise(_plain_letters(x))
+
+    def form(v: Column) -> Column:
+        # twice: kana before its voicing marks go, Hangul when it is decomposed
+        every = _other_letters(_plain_letters(_other_letters(v)))
+        bare = F.translate(F.regexp_replace(_reflected("decompose", F.translate(v, *_ONE), False), "\\p{M}+", ""), *_ONE)
+        return F.when(v.rlike(f"[{OTHER}]"), every).when(v.rlike(f"[{''.join(_MANY)}]"), _plain_letters(v)).otherwise(bare)
+
+    return let(x, form)
 
 
 def before_letters(plain: Column) -> Column:
