@@ -38,8 +38,10 @@ from ._common import plan_bytes, read, ship, stage
 
 TOP = 5
 PIVOTS = 48
-QUERY_BLOCK = 4096
-CANDIDATE_BLOCK = 2048
+#: Least and most vectors of a block: large blocks are copied to fewer others, small ones keep all
+#: tasks busy.
+QUERY_BLOCK = (4096, 16_384)
+CANDIDATE_BLOCK = (2048, 16_384)
 PIVOT_SAMPLE = 2048
 #: Numbers of a matrix that is held at once; wide vectors come in smaller blocks.
 CELLS = 1 << 22
@@ -175,11 +177,13 @@ def _unpacked(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray
 
 def _known(x: np.ndarray, ids: np.ndarray, sample: np.ndarray, sample_ids: np.ndarray, top: int) -> np.ndarray:
     """A score that ``top`` candidates of the sample reach, for each vector; -inf if there are fewer."""
-    about = x @ sample.T
-    about[ids[:, None] == sample_ids[None]] = -np.inf
-    if about.shape[1] < top:
+    if len(sample) < top:
         return np.full(len(x), -np.inf)
-    kth = np.partition(about, about.shape[1] - top, axis=1)[:, -top]
+    kth, step = np.zeros(len(x)), max(1, CELLS // len(sample))
+    for at in range(0, len(x), step):
+        about = x[at : at + step] @ sample.T
+        about[ids[at : at + step, None] == sample_ids[None]] = -np.inf
+        kth[at : at + step] = np.partition(about, about.shape[1] - top, axis=1)[:, -top]
     # rounding of the sums; what is compared with it has a slack of its own
     return kth - 1e-12 * norms(x) * norms(sample).max(initial=0)
 
@@ -210,7 +214,7 @@ def _blocks(rows: DataFrame, width: int, basis: np.ndarray, size: int, sample: t
     return rows.mapInArrow(pack, BLOCK + (", known binary" if sample is not None else ""))
 
 
-def top_k(vectors: DataFrame, queries: DataFrame, top: int = TOP, pivots: int = PIVOTS, query_block: int = QUERY_BLOCK, candidate_block: int = CANDIDATE_BLOCK) -> DataFrame:
+def top_k(vectors: DataFrame, queries: DataFrame, top: int = TOP, pivots: int = PIVOTS, query_block: int | None = None, candidate_block: int | None = None) -> DataFrame:
     """``query_id, rank, vec_id, score`` of each query over all rows but those of its own id."""
     found = _search(vectors, queries, top, pivots, query_block, candidate_block).where("vec_id IS NOT NULL")
     # k rows for each query and candidate block at most reach this window
@@ -220,16 +224,18 @@ def top_k(vectors: DataFrame, queries: DataFrame, top: int = TOP, pivots: int =
 
 def evaluated_share(vectors: DataFrame, queries: DataFrame, top: int = TOP, pivots: int = PIVOTS) -> float:
     """Part of all pairs of a query and a candidate that was scored."""
-    n = _search(vectors, queries, top, pivots, QUERY_BLOCK, CANDIDATE_BLOCK).where("vec_id IS NULL").agg(F.sum("score")).first()[0]
+    n = _search(vectors, queries, top, pivots, None, None).where("vec_id IS NULL").agg(F.sum("score")).first()[0]
     return (n or 0) / max(1, quantised(vectors).count() * quantised(queries).select("vec_id").distinct().count())
 
 
-def _search(vectors: DataFrame, queries: DataFrame, top: int, pivots: int, query_block: int, candidate_block: int) -> DataFrame:
+def _search(vectors: DataFrame, queries: DataFrame, top: int, pivots: int, query_block: int | None, candidate_block: int | None) -> DataFrame:
     """The best of each query and block; rows without ``vec_id`` have the number of scored pairs."""
     spark = vectors.sparkSession
     ship(spark)
     every = quantised(vectors)
-    width = every.agg(F.max(F.size("v"))).first()[0] or 0
+    width, n = every.agg(F.max(F.size("v")), F.count("*")).first()
+    width = width or 0
+    fit = lambda rows, least, most: max(least, min(most, rows // (4 * spark.sparkContext.defaultParallelism)))
     # pivots: from the rows of least hash, PIVOT_SAMPLE at most; any choice is exact
     drawn = every.orderBy(F.xxhash64("vec_id"), "vec_id").limit(max(top, min(PIVOT_SAMPLE, CELLS // max(1, width)))).toArrow()
     sample = matrix(drawn.column("v").combine_chunks(), width) if len(drawn) else np.zeros((0, width))
@@ -237,9 +243,9 @@ def _search(vectors: DataFrame, queries: DataFrame, top: int, pivots: int, query
     basis = choose_pivots(sample, pivots)
     if plan_bytes(vectors) < 4 << 30 and spark.sparkContext.defaultParallelism > 1:
         every = every.repartition(max(spark.sparkContext.defaultParallelism, int(plan_bytes(vectors) >> 24)))
-    table = stage(_blocks(every, width, basis, candidate_block), "pivot-table")
+    table = stage(_blocks(every, width, basis, candidate_block or fit(n, *CANDIDATE_BLOCK)), "pivot-table")
     wanted = quantised(queries).groupBy("vec_id").agg(F.min("v").alias("v"))
-    asked = stage(_blocks(wanted, width, basis, query_block, (sample, sample_ids), top), "pivot-queries")
+    asked = stage(_blocks(wanted, width, basis, query_block or fit(n, *QUERY_BLOCK), (sample, sample_ids), top), "pivot-queries")
     # the query set against all rows, in blocks: a row for each pair of blocks
     ours = asked.select(*[F.col(c).alias(f"q_{c}") for c in ("n", "ids", "kind", "x", "norm", "place", "known")])
     dealt = ours.crossJoin(table.select(F.col("task").alias("to_task"), F.col("seq").alias("to_seq")))
