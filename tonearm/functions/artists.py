@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .text import let, match_form
 
-#: Rust-style trim takes all Unicode white space.
+#: All Unicode white space.
 _TRIM = "\\A\\p{IsWhite_Space}+|\\p{IsWhite_Space}+\\z"
 
 
