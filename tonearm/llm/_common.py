@@ -6,10 +6,11 @@ driver and all executors share; a lost executor therefore never takes a stage re
 
 from __future__ import annotations
 
+import ctypes
 import os
 import uuid
 from collections.abc import Iterable, Iterator
-from contextlib import contextmanager
+from contextlib import contextmanager, suppress
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,6 +29,31 @@ def ship(spark: SparkSession) -> None:
         env["PYTHONPATH"] = os.pathsep.join(x for x in (have, _ROOT) if x)
 
 
+def give_back() -> None:
+    """Return what a Python worker has freed to the system.
+
+    A worker lives from task to task, and its allocators would keep the most that any task needed.
+    """
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    with suppress(OSError, AttributeError):  # glibc only
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+@contextmanager
+def lean() -> Iterator[None]:
+    """A task on a worker that keeps nothing of other operators, before it and after it."""
+    from .tokens import word_ids
+
+    word_ids.cache_clear()
+    give_back()
+    try:
+        yield
+    finally:
+        give_back()
+
+
 def scratch_root(spark: SparkSession) -> str:
     """The shared folder for intermediate tables.
 

@@ -40,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import free_name, ship, stage
+from ._common import free_name, lean, ship, stage
 from .simhash import SEED, components, links
 
 SHINGLE = 5
@@ -136,14 +136,15 @@ def _sketches(rows: DataFrame) -> DataFrame:
     from xxhash import xxh64_intdigest
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            n = batch.num_rows
-            whole, size, fp, found = np.zeros(n, "u8"), np.zeros(n, "i8"), np.zeros(n, "i8"), np.zeros((n, BANDS), "i8")
-            for i, x in enumerate(batch.column(2)):
-                mine = shingles(x.as_py())
-                whole[i], size[i], fp[i], found[i] = xxh64_intdigest(mine.tobytes(), SEED), len(mine), majority(mine), bands(mine)
-            lists = pa.ListArray.from_arrays(np.arange(0, found.size + 1, BANDS, dtype="i4"), pa.array(found.ravel()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(whole.view("i8")), pa.array(size), pa.array(fp), lists], names=["doc_id", "key", "whole", "size", "fp", "bands"])
+        with lean():
+            for batch in batches:
+                n = batch.num_rows
+                whole, size, fp, found = np.zeros(n, "u8"), np.zeros(n, "i8"), np.zeros(n, "i8"), np.zeros((n, BANDS), "i8")
+                for i, x in enumerate(batch.column(2)):
+                    mine = shingles(x.as_py())
+                    whole[i], size[i], fp[i], found[i] = xxh64_intdigest(mine.tobytes(), SEED), len(mine), majority(mine), bands(mine)
+                lists = pa.ListArray.from_arrays(np.arange(0, found.size + 1, BANDS, dtype="i4"), pa.array(found.ravel()))
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(whole.view("i8")), pa.array(size), pa.array(fp), lists], names=["doc_id", "key", "whole", "size", "fp", "bands"])
 
     return rows.mapInArrow(run, "doc_id long, key long, whole long, size long, fp long, bands array<long>")
 

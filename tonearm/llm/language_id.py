@@ -13,7 +13,7 @@ the square root of the language's texts in it, since the mean of a few texts say
 The models are fitted on a sample of ``TRAIN_DOCS`` labelled documents a language on average, as
 is the calibration; a language of fewer than ``FEW`` documents is fitted on all of them and takes
 its limits from all languages' texts. The rest covers all documents and whole texts. Scores of
-distinct words are kept by each worker, ``MEMO`` words at most.
+distinct words are kept by each task, ``MEMO`` words at most; ``BLOCK`` words are scored at a time.
 
 Defined results: a null text, or one without a letter, is ``und`` with score 0 and is rejected; if
 no document has a label there is no model, every text is ``und`` with score 0 and none is rejected;
@@ -33,12 +33,13 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import read, ship
+from ._common import lean, read, ship
 
 ORDER = 5
 TRAIN_DOCS = 600
 FEW = 100
 MEMO = 400_000
+BLOCK = 16_384
 CHARS = 1 << 20
 SPREAD = 6.0
 MARGIN = 0.25
@@ -182,7 +183,7 @@ class Scorer:
         bits = np.zeros((len(chunks), self.table.shape[1]))
         if words:
             index = {w: i for i, w in enumerate(words)}
-            each, n = self.models.score(words)
+            each, n = map(np.concatenate, zip(*(self.models.score(words[a : a + BLOCK]) for a in range(0, len(words), BLOCK)), strict=True))
             owner = np.repeat(np.arange(len(chunks)), [len(ws) for ws in split])
             at = np.array([index[w] for ws in split for w in ws], "i8")
             full = np.concatenate([each, n[:, None]], 1)[at]
@@ -303,6 +304,10 @@ def _scored(documents: DataFrame, models: Models, *_: str) -> DataFrame:
     names = [c.split()[0] for c in RESULT.split(", ")]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        with lean():
+            yield from scored(batches)
+
+    def scored(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = sent.value
         scorer = Scorer(m) if m.languages else None
         for batch in in_chunks(batches, 1):
@@ -335,6 +340,10 @@ def keep_accepted(documents: DataFrame, models: Models) -> DataFrame:
     at = documents.columns.index("text")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        with lean():
+            yield from kept(batches)
+
+    def kept(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = sent.value
         if not m.languages:
             yield from batches

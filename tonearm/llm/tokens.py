@@ -79,5 +79,5 @@ class WordIds(dict):
 
 @lru_cache(maxsize=2)
 def word_ids(path: str) -> WordIds:
-    """One memo per worker process and vocabulary, kept from task to task."""
+    """One memo per worker process and vocabulary, kept until a task calls ``lean`` there."""
     return WordIds(path)
