@@ -388,6 +388,50 @@ def test_dump(spark, tmp_path):
     assert mysql_dump.read_table(spark, str(empty), "t").count() == 0
 
 
+def test_dump_in_batches(spark, monkeypatch):
+    """A task hands back short statements together and a long one in parts; other columns follow their statement."""
+    import pyarrow as pa
+
+    tuples = [[(1, "a"), (2, None)], [], None, [(3, "b")] * 3] * 500
+    texts = [None if x is None else "INSERT INTO `t` VALUES " + ",".join(f"({i},{'NULL' if s is None else repr(s)})" for i, s in x) + ";" for x in tuples] + ["SELECT 1"]
+    taken = []
+    rows = spark.createDataFrame(list(enumerate(texts)), "k long, value string").selectExpr("array(k, NULL) AS a", "named_struct('m', map('k', k)) AS m", "value", "k")
+    true_map = type(rows).mapInArrow
+    monkeypatch.setattr(type(rows), "mapInArrow", lambda self, f, *a, **b: (taken.append(f), true_map(self, f, *a, **b))[1])
+    got = mysql_dump.parsed(rows).selectExpr("k", "a[0] = k AND a[1] IS NULL AND m.m['k'] = k AS same", "row_in_line", "cells[0].i", "cells[1].s").collect()
+    want = [(k, True, n, i, s) for k, x in enumerate(tuples) for n, (i, s) in enumerate(x or [])]
+    key = lambda r: (r[0], r[2])
+    assert sorted(map(tuple, got), key=key) == want
+
+    mysql_dump.parsed(rows.select("k", "value"))
+
+    def batches(lines):
+        batch = pa.record_batch({"k": range(len(lines)), "value": pa.array([x and x.encode() for x in lines], pa.binary())})
+        return list(taken[-1](iter([batch])))
+
+    short = batches(texts)
+    assert len(short) == 1 and short[0].num_rows == len(want)
+    long = batches(["INSERT INTO `t` VALUES " + ",".join(f"({i},'{i:0100}')" for i in range(100_000)) + ";"])
+    assert sum(b.num_rows for b in long) == 100_000 and max(b.nbytes for b in long) < 8 << 20
+    assert [x for b in long for x in b["row_in_line"].to_pylist()] == list(range(100_000))
+    assert batches([]) == batches([None, "VALUES", "INSERT INTO `t` VALUES ();"]) == []
+
+
+def test_quirks_of_one_row_group_are_spread(spark, tmp_path):
+    """One task reads such a file; more than one makes and parses its statements."""
+    rows = spark.range(1, 40_001, 1, 1).selectExpr("id AS p_partkey", "concat('part ', id) AS p_name", "CAST(id % 50 AS int) AS p_size")
+    rows.write.parquet(f"{tmp_path}/part.parquet")
+    kept = "spark.sql.adaptive.coalescePartitions.minPartitionSize"
+    spark.conf.set(kept, "16k")  # as 16 MB of statements would be by default
+    try:
+        got = catalog.QUERIES["parse_quirks"](spark, str(tmp_path)).select("i", "y", F.spark_partition_id().alias("task")).collect()
+    finally:
+        spark.conf.unset(kept)
+    assert sorted(r["i"] for r in got) == [i for i in range(1, 40_001) if i % 8 != 4]
+    assert {r["i"]: r["y"] for r in got if r["i"] < 9} == {1: "1,NULL,2", 2: "'part 2','s'", 3: "3,NULL,5", 5: "5.5,-7", 6: "1,NULL,6,'x'", 7: "0", 8: "8,'part 8',NULL"}
+    assert len({r["task"] for r in got}) > 1
+
+
 def test_sinks(spark, tmp_path):
     rows = spark.createDataFrame([(1, "a\tb"), (2, None), (3, ""), (4, 'q"x')], "id int, v string")
     copy_text.write_copy(rows, str(tmp_path / "copy"))
